@@ -8,10 +8,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_model, quality_rules, sharding
+from . import bpe, ngram_join, packing, quality_model, quality_rules, sharding
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, num=4, den=5)
+
+
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16, points=128)
 
@@ -50,6 +54,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ring_shards, op4_best_fit_packing, op6_quality_classifier, op8_byte_bpe, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op6_quality_classifier, op8_byte_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
