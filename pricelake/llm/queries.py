@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality_model, quality_rules, sharding
+from . import bpe, hmm, ngram_join, packing, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), states=6, passes=4)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +44,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of: dict[int, str] = {}
         for batch in decode(encode(batches)):
-            ids = batch.column(1).to_pylist()
+            ids = list(bpe.id_lists(batch.column(1)))
             for i in set().union(*ids) - text_of.keys():
                 text_of[i] = str(i)
             joined = [hashlib.sha256(",".join(map(text_of.__getitem__, x)).encode()).hexdigest() for x in ids]
@@ -54,6 +58,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op6_quality_classifier, op8_byte_bpe, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
