@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, mtree, ngram_join, packing, quality_model, quality_rules, sharding
+from . import bpe, hmm, html_tree, mtree, ngram_join, packing, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -63,7 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op5_mtree_top_k, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules)}
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op5_mtree_top_k, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules, op10_site_style_tree)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mtree_top_k": """
