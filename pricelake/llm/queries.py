@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, html_tree, mtree, ngram_join, packing, quality_model, quality_rules, sharding
+from . import bpe, hmm, html_tree, mtree, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16, points=128)
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.repeats(table(spark, sf_dir, "documents"), min_words=50)
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("copy").alias("is_copy"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +72,7 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op4_best_fit_packing, op5_mtree_top_k, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules, op10_site_style_tree)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op3_repeated_passages, op4_best_fit_packing, op5_mtree_top_k, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules, op10_site_style_tree)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mtree_top_k": """
