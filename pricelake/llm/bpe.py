@@ -16,9 +16,10 @@ column that exists already is refused.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 from .common import require
 
 _NO_PAIR = 1 << 62
+#: Children of a node of the segment tree: wide, since a minimum over a short slice is cheap.
+FAN = 32
 #: Pre-tokens that a worker remembers, in two generations.
-_REMEMBER = 150_000
+_REMEMBER = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,55 +46,48 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    if n == 0:
-        return []
-    if n == 1:
-        return [ranks[piece]]
+    if n < 2:
+        return [ranks[piece]] if n else []
     get = ranks.get
-    leaves = 1
-    while leaves < n:
-        leaves *= 2
-    # A leaf holds rank * leaves + position, so that the least value is the leftmost pair of least rank.
-    tree = [_NO_PAIR] * (2 * leaves)
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[leaves + i] = rank * leaves + i
-    for i in range(leaves - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    # A leaf holds rank * n + position, so that the least value is the leftmost pair of least rank. Above the leaves,
+    # each node holds the least value of its FAN children; the last level has one node's children at most.
+    leaves = [_NO_PAIR if (rank := get(piece[i : i + 2])) is None else rank * n + i for i in range(n - 1)]
+    leaves.append(_NO_PAIR)
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, deep = levels[-1], len(levels) > 1
     after = list(range(1, n + 1))  # where the token that starts here ends, which is where the next one starts
-    before = list(range(-1, n - 1))
-    mask = leaves - 1
-
-    def put(at: int, value: int) -> None:
-        at += leaves
-        tree[at] = value
-        at >>= 1
-        while at:
-            a, b = tree[2 * at], tree[2 * at + 1]
-            least = a if a < b else b
-            if tree[at] == least:
+    before = list(range(-1, n))
+
+    def lift(at: int) -> None:
+        for k in range(1, len(levels)):
+            own = at // FAN
+            least = min(levels[k - 1][own * FAN : own * FAN + FAN])
+            if levels[k][own] == least:
                 return
-            tree[at] = least
-            at >>= 1
+            levels[k][own] = least
+            at = own
 
-    while tree[1] < _NO_PAIR:
-        left = tree[1] & mask
+    while (best := min(top)) < _NO_PAIR:
+        left = best % n
         right = after[left]
         end = after[right]
         after[left] = end
-        if end < n:
-            before[end] = left
-            rank = get(piece[left : after[end]])
-            put(left, _NO_PAIR if rank is None else rank * leaves + left)
-        else:
-            put(left, _NO_PAIR)
-        put(right, _NO_PAIR)
+        before[end] = left
+        rank = get(piece[left : after[end]]) if end < n else None
+        leaves[left] = _NO_PAIR if rank is None else rank * n + left
+        leaves[right] = _NO_PAIR
         prior = before[left]
         if prior >= 0:
             rank = get(piece[prior:end])
-            put(prior, _NO_PAIR if rank is None else rank * leaves + prior)
+            leaves[prior] = _NO_PAIR if rank is None else rank * n + prior
+        if deep:
+            lift(left)
+            lift(right)
+            if prior >= 0:
+                lift(prior)
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -100,16 +96,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memory(dict):
-    """Pre-token -> ids, in two generations: what the older one holds is moved up when it is met again."""
+    """Pre-token -> its ids, packed, in two generations: what the older one holds is moved up when it is met again."""
 
     def __init__(self, ranks: dict[bytes, int], size: int = _REMEMBER):
         super().__init__()
         self.ranks, self.size, self.old = ranks, size, {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
+            ids = array("i", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
         if len(piece) <= 64:
             if len(self) >= self.size:
                 self.old = dict(self)
@@ -125,8 +121,9 @@ class Encoder:
         self.memory, self.pattern = _Memory(ranks), regex.compile(pattern)
         self.vocabulary = {i: b for b, i in ranks.items()}
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.memory.__getitem__, self.pattern.findall(text)))) if text else []
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids as int32."""
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.pattern.findall(text))) if text else b"", dtype=np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -143,6 +140,14 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column of ids, nulls as empty lists, without an object per id."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    filled = column.is_valid().to_pylist()
+    for k in range(len(column)):
+        yield flat[offsets[k] : offsets[k + 1]].tolist() if filled[k] else []
+
+
 def encode_batches(ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Replaces the text column of Arrow batches by a column of ids, a slice of rows at a time."""
 
@@ -152,7 +157,9 @@ def encode_batches(ranks_path: str, pattern: str, text_col: str = "text", ids_co
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 k = batch.schema.get_field_index(text_col)
-                ids = pa.array((enc.encode(t) for t in batch.column(k).to_pylist()), pa.list_(pa.int32()))
+                own = [enc.encode(t) for t in batch.column(k).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
                 names = [n for n in batch.schema.names if n != text_col]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [ids], [*names, ids_col])
 
@@ -165,7 +172,7 @@ def decode_batches(ranks_path: str, pattern: str, ids_col: str = "ids", bytes_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            out = pa.array((enc.decode(ids or ()) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()), pa.binary())
+            out = pa.array((enc.decode(ids) for ids in id_lists(batch.column(batch.schema.get_field_index(ids_col)))), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, bytes_col])
 
     return run
