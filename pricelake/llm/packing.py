@@ -16,6 +16,7 @@ other input columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import materialise, require
 
 #: Words that a worker remembers, in two generations.
-_REMEMBER = 200_000
+_REMEMBER = 500_000
 #: Documents of one length are ranked in so many groups at first; groups are by a hash of the row.
 _RANK_GROUPS = 64
 
@@ -100,27 +101,53 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
+#: A word that is one run of Latin letters, then marks: two pre-tokens at most, which the model encodes by themselves.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+
+
 class _Words(dict):
-    """Word -> its ids, packed little-endian; misses are encoded in groups by :meth:`learn`."""
+    """Word -> its ids, packed little-endian, in two generations."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > _REMEMBER:
-            self.old = dict(self)
-            self.clear()
-        new = {w for words in texts for w in words if w not in self}
-        for w in [w for w in new if w in self.old]:
-            self[w] = self.old[w]
-            new.discard(w)
-        todo = list(new)
-        for w, e in zip(todo, self.tokenizer.encode_batch([w.decode() for w in todo], add_special_tokens=False), strict=True):
-            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.old, self.runs = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # How the byte-level step writes each character of a plain word.
+        self.written = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, (*range(33, 127), *range(0xC0, 0x100)))}
+        self.specials = any(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.content.startswith("<|"))
+
+    def run(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.runs.get(text)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(text.translate(self.written))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.runs) >= _REMEMBER:
+                self.runs.clear()
+            self.runs[text] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            plain = _PLAIN.fullmatch(text) if len(text) <= 100 and "<|" not in text and not self.specials else None
+            if plain:
+                letters, marks = plain.groups()
+                ids = (self.run(letters.lower()) if letters else b"") + (self.run(marks) if marks else b"")
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= 64:
+            if len(self) >= _REMEMBER:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 _WORDS: dict[str, _Words] = {}
@@ -144,7 +171,6 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capac
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 texts = [t.split() if t else [] for t in batch.column(1).cast(pa.binary()).to_pylist()]  # at ASCII white space only
-                words.learn(texts)
                 out: list[list] = [[] for _ in range(5 + with_ids)]
                 for doc_id, parts in zip(batch.column(0).to_pylist(), texts, strict=True):
                     ids = b"".join(map(words.__getitem__, parts)) + end
