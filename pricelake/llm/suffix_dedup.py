@@ -35,13 +35,20 @@ from .words import WordHashes, gram_hashes, mixed
 GRAM = 12
 FILTER_BITS = 1 << 24
 #: Entries that a batch asks at once.
-BATCH_ENTRIES = 400_000
+BATCH_ENTRIES = 60_000
 #: Spans are broadcast up to so many documents; beyond, documents are joined by shuffle.
 BROADCAST_DOCS = 200_000
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
@@ -134,7 +141,7 @@ def _filter(keyed: DataFrame, min_words: int, buckets: int) -> np.ndarray:
             for row in _questions("", h, least, several, buckets):
                 yield pa.RecordBatch.from_pylist([row], _ASK)
 
-        for batch in batches:
+        for batch in _slices(batches):
             for owner, text in zip(batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.split() if text else []
                 if len(words) >= min_words:
@@ -210,7 +217,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             for row in _questions(name, h, least, several, buckets):
                 yield pa.RecordBatch.from_pylist([row], _ASK)
 
-        for batch in batches:
+        for batch in _slices(batches):
             for doc_id, owner, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.split() if text else []
                 if len(words) < min_words:
