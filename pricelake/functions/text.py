@@ -97,6 +97,11 @@ REVIEW_BUCKETS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end (Spark's trim knows spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

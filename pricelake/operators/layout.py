@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import price_cell_value
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 PAGE = ["doc_id", "page"]
 MIN_GAP, ROW_TOLERANCE, GAP_FLOOR, GAP_FACTOR = 6, 6.0, 7.0, 1.6
@@ -128,27 +128,43 @@ def join_thousands(prices: Column, columns: Column, texts: Column) -> Column:
 def split_row(texts: Column) -> Column:
     """struct(prices, name, unit): the trailing run of number cells is the prices, a unit cell may stand before it (not
     first), the rest is the name."""
-    isnt = F.transform(texts, lambda t, i: F.when(price_cell_value(t).isNull(), i))
-    cut = F.coalesce(F.array_max(isnt) + 1, F.lit(0))
-    prices = F.transform(F.slice(texts, cut + 1, F.size(texts)), price_cell_value)
-    before = F.get(texts, cut - 1)
-    unit = (F.size(prices) > 0) & (cut >= 2) & looks_like_unit(before)
-    name = F.array_join(F.filter(F.slice(texts, F.lit(1), F.greatest(F.lit(0), cut - F.when(unit, 1).otherwise(0))), lambda t: t != ""), " ")
-    return F.struct(prices.alias("prices"), strip(name).alias("name"), F.when(unit, before).alias("unit"))
+    read = F.transform(texts, lambda t: F.struct(t.alias("text"), price_cell_value(t).alias("value")))
+
+    def split(cells):
+        last_text = F.array_max(F.transform(cells, lambda c, i: F.when(c["value"].isNull(), i)))
+        return let(F.coalesce(last_text + 1, F.lit(0)), lambda cut: parts(cells, cut))
+
+    def parts(cells, cut):
+        before = F.get(cells, cut - 1)["text"]
+        unit = (cut < F.size(cells)) & (cut >= 2) & looks_like_unit(before)
+        return let(unit, lambda u: whole(cells, cut, before, u))
+
+    def whole(cells, cut, before, unit):
+        prices = F.transform(F.slice(cells, cut + 1, F.greatest(F.size(cells), F.lit(1))), lambda c: c["value"])
+        words = F.filter(F.transform(F.slice(cells, F.lit(1), cut - F.when(unit, 1).otherwise(0)), lambda c: c["text"]), lambda t: t != "")
+        return F.struct(prices.alias("prices"), strip(F.array_join(words, " ")).alias("name"), F.when(unit, before).alias("unit"))
+
+    return let(read, split)
 
 
 def looks_like_unit(text: Column) -> Column:
     """A unit of measure: at most four words, all of the vocabulary (one at least no mere link), or a count and one or
     two short words."""
-    low = F.lower(strip(F.coalesce(text, F.lit(""))))
-    tokens = F.filter(F.split(low, r"(?U)[\s/\\,;]+"), lambda t: t != "")
-    counted = F.coalesce(F.get(tokens, F.lit(0)).rlike(r"^\d{1,3}$"), F.lit(False))
-    rest = F.when(counted, F.slice(tokens, 2, 100)).otherwise(tokens)
-    words = F.regexp_extract_all(F.array_join(rest, " "), F.lit(r"(?U)([\p{L}]+)"), 1)
     units, links = F.array(*map(F.lit, UNIT_WORDS)), F.array(*map(F.lit, UNIT_LINKS))
-    known = F.exists(words, lambda w: F.array_contains(units, w)) & F.forall(words, lambda w: F.array_contains(units, w) | F.array_contains(links, w))
-    short = counted & (F.size(words) <= 2) & F.forall(words, lambda w: F.length(w) <= 14)
-    return (low != "") & (F.length(low) <= 40) & F.size(words).between(1, 4) & (known | short)
+
+    def judge(low):
+        tokens = F.filter(F.split(low, r"(?U)[\s/\\,;]+"), lambda t: t != "")
+        return let(tokens, lambda ts: let(F.coalesce(F.get(ts, F.lit(0)).rlike(r"^\d{1,3}$"), F.lit(False)), lambda counted: fits(low, ts, counted)))
+
+    def fits(low, tokens, counted):
+        rest = F.slice(tokens, F.when(counted, 2).otherwise(1), F.lit(100))
+        words = F.regexp_extract_all(F.array_join(rest, " "), F.lit(r"(?U)([\p{L}]+)"), 1)
+        return let(words, lambda ws: (low != "") & (F.length(low) <= 40) & F.size(ws).between(1, 4) & (vocabulary(ws) | (counted & (F.size(ws) <= 2) & F.forall(ws, lambda w: F.length(w) <= 14))))
+
+    def vocabulary(words):
+        return F.exists(words, lambda w: F.array_contains(units, w)) & F.forall(words, lambda w: F.array_contains(units, w) | F.array_contains(links, w))
+
+    return let(F.lower(strip(F.coalesce(text, F.lit("")))), judge)
 
 
 def is_section(text: Column) -> Column:
@@ -173,18 +189,26 @@ def is_section_of_scan(text: Column) -> Column:
 def code_and_name(text: Column) -> Column:
     """struct(code, name): a leading code; else, after a leading row number is dropped, the only code inside, joined with
     a one- or two-letter prefix that stands apart. Two codes inside are none."""
-    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-    head = F.get(tokens, F.lit(0))
-    leading = F.coalesce(head.rlike(LEADING_CODE), F.lit(False))
-    numbered = F.coalesce(head.rlike(r"^\d{1,4}$"), F.lit(False)) & ~leading
-    rest = F.when(leading | numbered, F.slice(tokens, 2, 10_000)).otherwise(tokens)
-    inline = lambda t: t.rlike(INLINE_CODE) & (F.length(F.regexp_replace(t, r"\D", "")) >= 4)
-    places = F.filter(F.transform(rest, lambda t, i: F.when(inline(t), i)), lambda i: i.isNotNull())
-    at = F.when(~leading & (F.size(places) == 1), F.get(places, F.lit(0)))
-    prefixed = F.coalesce((at >= 1) & F.get(rest, at - 1).rlike("(?u)^[A-ZА-ЯЁ]{1,2}$"), F.lit(False))
-    found = F.concat(F.when(prefixed, F.get(rest, at - 1)).otherwise(F.lit("")), F.get(rest, at))
-    others = F.filter(rest, lambda t, i: at.isNull() | ((i != at) & ~(prefixed & (i == at - 1))))
-    return F.struct(F.when(leading, head).otherwise(found).alias("code"), F.array_join(others, " ").alias("name"))
+
+    def look(tokens):
+        head = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
+        leading = head.rlike(LEADING_CODE)
+        rest = F.slice(tokens, F.when(leading | head.rlike(r"^\d{1,4}$"), 2).otherwise(1), F.lit(10_000))
+        return let(F.struct(leading.alias("leading"), rest.alias("rest")), lambda x: inside(head, x["leading"], x["rest"]))
+
+    def inside(head, leading, rest):
+        inline = lambda t: t.rlike(INLINE_CODE) & (F.length(F.regexp_replace(t, r"\D", "")) >= 4)
+        places = F.filter(F.transform(rest, lambda t, i: F.when(inline(t), i)), lambda i: i.isNotNull())
+        at = let(places, lambda p: F.when(~leading & (F.size(p) == 1), F.get(p, F.lit(0))))
+        return let(at, lambda i: chosen(head, leading, rest, i))
+
+    def chosen(head, leading, rest, at):
+        prefixed = F.coalesce((at >= 1) & F.get(rest, at - 1).rlike("(?u)^[A-ZА-ЯЁ]{1,2}$"), F.lit(False))
+        found = F.concat(F.when(prefixed, F.get(rest, at - 1)).otherwise(F.lit("")), F.get(rest, at))
+        others = F.filter(rest, lambda t, i: at.isNull() | ((i != at) & ~(prefixed & (i == at - 1))))
+        return F.struct(F.when(leading, head).otherwise(found).alias("code"), F.array_join(others, " ").alias("name"))
+
+    return let(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), look)
 
 
 def is_band_artifact(prices: Column, name: Column) -> Column:

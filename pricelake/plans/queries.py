@@ -161,12 +161,12 @@ def item_history(p: Proxies) -> DataFrame:
 @query(
     sql(
         "SELECT seed_id, count(*) AS related FROM pairs GROUP BY seed_id",
-        "asked AS (SELECT item_id AS seed_id, partner_id, code, name_norm FROM items WHERE partner_id <= 5 AND is_active)",
+        "asked AS (SELECT item_id AS seed_id, partner_id, code, name_norm FROM items WHERE is_active)",
         "pairs AS (SELECT seed_id, item_id FROM asked a JOIN items i ON i.partner_id = a.partner_id AND i.code = a.code UNION SELECT seed_id, item_id FROM asked a JOIN items i ON i.partner_id = a.partner_id AND i.name_norm = a.name_norm)",
     )
 )
 def history_bulk(p: Proxies) -> DataFrame:
-    pairs = history.related_pairs(p.items, p.items.where("partner_id <= 5 and is_active"))
+    pairs = history.related_pairs(p.items, p.items.where("is_active"))
     return pairs.groupBy("seed_id").agg(F.count("*").alias("related"))
 
 
@@ -362,9 +362,9 @@ def merged_totals(p: Proxies) -> DataFrame:
     return merged.groupBy("partner_id").agg(F.count("*").alias("lists"), F.sum("merged_count").alias("merged_total"))
 
 
-@query(sql("SELECT partner_id, CAST(run AS BIGINT) AS run, min(section) AS section, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY partner_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(section) OVER w IS DISTINCT FROM section OR lag(1) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM items WHERE partner_id <= 10 WINDOW w AS (PARTITION BY partner_id ORDER BY seq))) GROUP BY partner_id, run"))
+@query(sql("SELECT partner_id, CAST(run AS BIGINT) AS run, min(section) AS section, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY partner_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(section) OVER w IS DISTINCT FROM section OR lag(1) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM items WINDOW w AS (PARTITION BY partner_id ORDER BY seq))) GROUP BY partner_id, run"))
 def section_runs(p: Proxies) -> DataFrame:
-    numbered = queries.runs(p.items.where("partner_id <= 10"), ["partner_id"], ["seq"], "section")
+    numbered = queries.runs(p.items, ["partner_id"], ["seq"], "section")
     return numbered.groupBy("partner_id", "run").agg(F.min("section").alias("section"), F.count("*").alias("n"))
 
 
@@ -439,11 +439,11 @@ def detect_format(p: Proxies) -> DataFrame:
     return p.table("pages").select("page_id", formats.file_format(F.concat(F.lit("/in/dir.d/list"), F.col("page_id").cast("string"), kind)).alias("file_format"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Клиника ' || page_id ELSE 'Центр ' || page_id END AS partner FROM pages WHERE page_id NOT BETWEEN 1900 AND 2099")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Клиника ' || page_id ELSE 'Центр ' || translate(CAST(page_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') END AS partner FROM pages")
 def partner_from_filename(p: Proxies) -> DataFrame:
     i = F.col("page_id").cast("string")
-    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/a/КЛИНИКА  "), i, F.lit(" прайс 2025 год.PDF"))).otherwise(F.concat(F.lit("/a/Прайс_Центр-"), i, F.lit("_2024 года.xlsx")))
-    return p.table("pages").where("page_id not between 1900 and 2099").select("page_id", formats.partner_name(path).alias("partner"))
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/a/КЛИНИКА  "), i, F.lit(" прайс 2025 год.PDF"))).otherwise(F.concat(F.lit("/a/Прайс_Центр-"), F.translate(i, "0123456789", "ABCDEFGHIJ"), F.lit("_2024 года.xlsx")))
+    return p.table("pages").select("page_id", formats.partner_name(path).alias("partner"))
 
 
 @query("SELECT page_id, CASE WHEN 1990 + page_id % 40 >= 2000 THEN make_date(1990 + CAST(page_id % 40 AS INTEGER), 1, 1) END AS effective_date FROM pages")
@@ -560,17 +560,17 @@ def recleaned_items(p: Proxies) -> DataFrame:
 # ---------------------------------------------------------------- golden lists
 
 
-_GOLDEN = "golden AS (SELECT item_id AS golden_id, lower(name) AS key, code, price_resident + CASE WHEN l_linenumber % 5 = 0 THEN 10 ELSE 0 END AS resident, CASE WHEN l_linenumber % 7 = 3 THEN 'RUB' ELSE currency END AS currency FROM items WHERE partner_id = 4 AND is_active AND price_resident IS NOT NULL)"
+_GOLDEN = "golden AS (SELECT item_id AS golden_id, partner_id || '|' || lower(name) AS key, code, price_resident + CASE WHEN l_linenumber % 5 = 0 THEN 10 ELSE 0 END AS resident, CASE WHEN l_linenumber % 7 = 3 THEN 'RUB' ELSE currency END AS currency FROM items WHERE is_active AND price_resident IS NOT NULL)"
 _VERDICTS = """verdicts AS (SELECT golden_id, CASE WHEN pid IS NULL THEN 'missing' WHEN currency <> pcur THEN 'wrong_currency' WHEN abs(resident - pres) > 0.5 THEN 'wrong_resident' ELSE 'ok' END AS verdict, coalesce(flagged, FALSE) AS flagged
     FROM golden LEFT JOIN (SELECT * FROM (SELECT golden_id, i.item_id AS pid, i.currency AS pcur, i.price_resident AS pres, i.needs_review AS flagged, row_number() OVER (PARTITION BY golden_id ORDER BY (i.code <> g.code)::INT, abs(g.resident - i.price_resident), i.item_id) AS nth
-        FROM golden g JOIN items i ON lower(i.name) = g.key WHERE i.partner_id = 4 AND i.is_active AND i.price_resident IS NOT NULL AND i.l_linenumber <> 6) WHERE nth = 1) USING (golden_id))"""
+        FROM golden g JOIN items i ON i.partner_id || '|' || lower(i.name) = g.key WHERE i.is_active AND i.price_resident IS NOT NULL AND i.l_linenumber <> 6) WHERE nth = 1) USING (golden_id))"""
 
 
 def _verdicts(p: Proxies) -> DataFrame:
-    own = p.items.where("partner_id = 4 and is_active and price_resident is not null")
+    own = p.items.where("is_active and price_resident is not null").withColumn("key", F.concat_ws("|", "partner_id", F.lower("name"))).withColumn("code_key", F.concat_ws("|", "partner_id", "code"))
     off = F.when(F.col("l_linenumber") % 5 == 0, 10).otherwise(0)
-    wanted = own.select(F.col("item_id").alias("golden_id"), F.lower("name").alias("key"), F.lit(None).cast("string").alias("none"), F.col("code").alias("code_key"), (F.col("price_resident") + off).alias("resident"), F.lit(None).cast("double").alias("nonresident"), F.when(F.col("l_linenumber") % 7 == 3, "RUB").otherwise(F.col("currency")).alias("currency")).drop("none")
-    parsed = own.where("l_linenumber <> 6").select(F.col("item_id").alias("row_id"), F.lower("name").alias("key"), F.col("code").alias("code_key"), F.col("price_resident").alias("resident"), F.col("price_nonresident").alias("nonresident"), "currency", F.lit(None).cast("map<string,double>").alias("tiers"), "needs_review")
+    wanted = own.select(F.col("item_id").alias("golden_id"), "key", "code_key", (F.col("price_resident") + off).alias("resident"), F.lit(None).cast("double").alias("nonresident"), F.when(F.col("l_linenumber") % 7 == 3, "RUB").otherwise(F.col("currency")).alias("currency"))
+    parsed = own.where("l_linenumber <> 6").select(F.col("item_id").alias("row_id"), "key", "code_key", F.col("price_resident").alias("resident"), F.col("price_nonresident").alias("nonresident"), "currency", F.lit(None).cast("map<string,double>").alias("tiers"), "needs_review")
     return golden.compare(wanted, parsed)
 
 
@@ -589,7 +589,7 @@ def accuracy_summary(p: Proxies) -> DataFrame:
 
 def _sheets(p: Proxies) -> DataFrame:
     """A sheet per order: a title, a header, a numbering line, sections, rows and a row without a name."""
-    line = p.base.where("partner_id <= 20")
+    line = p.base
     sheet = [F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), F.lit("s").alias("sheet")]
     row = F.row_number().over(Window.partitionBy("partner_id").orderBy("seq"))
     body = line.withColumn("k", row).select(*sheet, (10 + F.col("k")).cast("int").alias("row_idx"), F.when(F.col("k") % 10 == 1, F.array(F.col("section"), F.lit(""), F.lit(""))).otherwise(F.array(F.when(F.col("k") % 10 == 2, "").otherwise(F.col("name")), F.col("code"), F.col("price_original").cast("string"))).alias("cells"))
@@ -597,7 +597,7 @@ def _sheets(p: Proxies) -> DataFrame:
     return head.unionByName(body)
 
 
-_SHEETS = "sheets AS (SELECT 'd' || partner_id AS doc_id, partner_id, seq, name, code, section, price_original, row_number() OVER (PARTITION BY partner_id ORDER BY seq) AS k FROM converted WHERE partner_id <= 20)"
+_SHEETS = "sheets AS (SELECT 'd' || partner_id AS doc_id, partner_id, seq, name, code, section, price_original, row_number() OVER (PARTITION BY partner_id ORDER BY seq) AS k FROM converted)"
 
 
 @query(sql("SELECT doc_id, CAST(10 + k AS INTEGER) AS row_idx, CASE WHEN k % 10 = 2 THEN '(?)' ELSE name END AS name, code, title AS section, CAST(price_original AS DOUBLE) AS price FROM (SELECT *, last_value(CASE WHEN k % 10 = 1 THEN section END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS title FROM sheets) WHERE k % 10 <> 1", _SHEETS))
@@ -617,12 +617,12 @@ def grid_columns(p: Proxies) -> DataFrame:
 def _words(p: Proxies) -> DataFrame:
     """Words on pages of three columns: one page per partner, a line per item."""
     w = Window.partitionBy("partner_id").orderBy("seq")
-    line = p.base.where("partner_id <= 20").withColumn("k", F.row_number().over(w))
+    line = p.base.withColumn("k", F.row_number().over(w))
     boxes = F.array(F.struct(F.lit(10.0).alias("x0"), (10.0 + F.length("name") * 4).alias("x1"), F.col("name").alias("text")), F.struct(F.lit(400.0).alias("x0"), (400.0 + F.length("code") * 4).alias("x1"), F.col("code").alias("text")), F.struct(F.lit(500.0).alias("x0"), F.lit(560.0).alias("x1"), F.col("price_original").cast("string").alias("text")))
     return line.select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), (F.col("k") * 12.0).alias("top"), F.explode(boxes).alias("b")).select("doc_id", "page", "page_width", "top", "b.*")
 
 
-_BOXES = "boxes AS (SELECT 'd' || partner_id AS doc_id, length(name) AS n, length(code) AS c, name, code, price_original, row_number() OVER (PARTITION BY partner_id ORDER BY item_id) AS k FROM base WHERE partner_id <= 20)"
+_BOXES = "boxes AS (SELECT 'd' || partner_id AS doc_id, length(name) AS n, length(code) AS c, name, code, price_original, row_number() OVER (PARTITION BY partner_id ORDER BY item_id) AS k FROM base)"
 
 
 @query(sql("SELECT doc_id, round((10 + 4 * max(n) + 1 + 400) / 2.0, 1) AS first_gap, round((400 + 4 * max(c) + 1 + 500) / 2.0, 1) AS second_gap FROM boxes GROUP BY doc_id", _BOXES))
@@ -650,7 +650,7 @@ def layout_cells(p: Proxies) -> DataFrame:
 )
 def layout_name_buffer(p: Proxies) -> DataFrame:
     w = Window.partitionBy("partner_id").orderBy("seq")
-    lines = p.base.where("partner_id <= 20").withColumn("k", F.row_number().over(w).cast("long")).select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), "k", F.col("name").alias("text"), (F.col("k") % 3 == 0).alias("priced"), (F.col("k") % 7 == 1).alias("section"))
+    lines = p.base.withColumn("k", F.row_number().over(w).cast("long")).select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), "k", F.col("name").alias("text"), (F.col("k") % 3 == 0).alias("priced"), (F.col("k") % 7 == 1).alias("section"))
     return layout.with_wrapped_names(lines, ["doc_id"], "k").select("doc_id", "k", "name")
 
 
@@ -658,7 +658,7 @@ def layout_name_buffer(p: Proxies) -> DataFrame:
 def layout_rows(p: Proxies) -> DataFrame:
     """Codes, units and tiers of assembled lines; compared with expected values in the tests."""
     texts = F.array(F.concat(F.lit("12 "), F.col("name"), F.lit(" В02.110.002")), F.lit("1 посещение"), F.col("price_original").cast("string"))
-    split = p.base.where("partner_id <= 20").select("item_id", layout.split_row(texts).alias("s"))
+    split = p.base.select("item_id", layout.split_row(texts).alias("s"))
     coded = split.select("item_id", "s.unit", "s.prices", layout.code_and_name(F.col("s.name")).alias("c"))
     return coded.select("item_id", "unit", F.get("prices", F.lit(0)).alias("price"), "c.code", "c.name")
 
