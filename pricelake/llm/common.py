@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, notebooks).
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Bytes of a batch to a Python worker at most (a longer row is a batch by itself).
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +35,33 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder; batches to Python workers are bounded by bytes, as texts may be long."""
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def trim() -> None:
+    """Gives memory that a task no longer needs back to the system: an executor may keep several idle workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A batch function that trims when its task ends."""
+
+    @wraps(run)
+    def wrapper(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapper
+
+
 def buckets_for(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number of buckets grows with the cluster's own setting for the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,12 +8,17 @@ second level of the scheme is trivial here: one subset per part, which needs the
 empty in both says nothing, so an instance has enough parts that more than k are non-empty; a set for which that fails
 emits its empty parts as well, which keeps the join exact.
 
+A part that many sets of a batch share is often one frequent n-gram, which says little; a set leaves such parts out, but
+never more than half of those it has beyond k, so that of two linked sets at least one common part is emitted by both.
+
 Signatures travel packed, a row for each batch of documents and bucket of signatures, and are sorted per bucket. Sets
-that share one form candidate groups. Groups are never expanded into all pairs: each set is first compared with the
-least member it met; then, while a group spans several components, its members are compared with a widening window of
-its first members, only across components. When it ends, every candidate pair has been compared or lies inside one
-component, so no component is lost. A signature that is frequent within one batch leaves as plain rows, so that no task
-has to hold its members.
+that share one form candidate groups. A signature that is frequent within one batch leaves as plain rows, so that no task
+has to hold its members. Groups are never expanded into all pairs: each set is first compared with the least member it
+met, which settles true clusters in linear time. Groups that then still span several clusters are cut into blocks of
+bounded size, and only members of different clusters are compared, by bit sketches: bit i is the parity of a set's
+n-grams in cell i, so two sketches differ in at most as many bits as the sets in n-grams, and a pair that differs in more
+than k bits can't link. Only survivors leave a block, and are compared exactly, on their texts. So no link between
+clusters is lost.
 
 Equal sets are one class from the start. Null and word-less texts have no n-grams and link with nothing; texts with
 fewer words than n are one n-gram; null ids never become a component's id unless all are null; repeated rows are
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, require
+from .common import buckets_for, materialise, require, trim, trimmed
 from .components import components
 from .words import WordHashes, gram_hashes, mixed
 
@@ -45,6 +50,8 @@ FREQUENT = 64
 MOST_FILTER_BITS = 1 << 24
 #: Ids of documents to drop are broadcast up to so many; beyond, documents are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Sets of a block of a candidate group.
+BLOCK = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,8 +97,9 @@ def gram_set(words: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
     return np.unique(gram_hashes(h, n))
 
 
-def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """One for every non-empty part of both instances (and for empty parts where the non-empty ones are too few)."""
+def signatures(grams: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
+    """Of both instances: one for every non-empty part (and for empty parts where the non-empty ones are too few), and how
+    many of them may be left out."""
     own = bands.of(len(grams))
     weights, high = mixed(grams + _GOLD), grams >> np.uint64(32)
     out = []
@@ -100,11 +108,12 @@ def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
         part = high * np.uint64(parts) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         tag = (np.uint64(instance) << np.uint64(40)) + np.uint64(1)
-        out.append(mixed(np.add.reduceat(weights, starts) ^ mixed(part[starts] + tag)))
+        found = mixed(np.add.reduceat(weights, starts) ^ mixed(part[starts] + tag))
         if len(starts) <= k:
             missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            out.append(mixed(mixed(missing + tag) + _GOLD))
-    return np.concatenate(out)
+            found = np.concatenate((found, mixed(mixed(missing + tag) + _GOLD)))
+        out.append((found, max(0, len(starts) - k - 1) // 2))
+    return out
 
 
 _OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("frequent", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.binary())])
@@ -122,17 +131,32 @@ def _emit(n: int, buckets: int, num: int, den: int):
         hashes, bands, turn = WordHashes(), Bands(num, den), 0
         seen: set[int] = set()
 
-        def flush(ids: list[int], sets: list[np.ndarray]) -> Iterator[dict]:
+        def flush(ids: list[int], sets: list[list[tuple[np.ndarray, int]]]) -> Iterator[dict]:
             nonlocal turn
-            sids, lengths = np.array(ids, dtype=np.uint64), np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-            sigs, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            sids = np.array(ids, dtype=np.uint64)
+            pieces = [(i, found, spare) for i, own in enumerate(sets) for found, spare in own]
+            lengths = np.fromiter((len(found) for _, found, _ in pieces), dtype=np.int64, count=len(pieces))
+            sigs, owner = np.concatenate([found for _, found, _ in pieces]), np.repeat(np.array([i for i, _, _ in pieces]), lengths)
             order = np.argsort(sigs, kind="stable")
             ranked = sigs[order]
             starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
             sizes = np.diff(np.append(starts, len(ranked)))
+            shared = np.empty(len(sigs), dtype=np.int64)
+            shared[order] = np.repeat(sizes, sizes)
+            drop = np.zeros(len(sigs), dtype=bool)
+            at = np.cumsum(lengths) - lengths
+            met = np.add.reduceat(shared > 1, at)
+            for j in np.flatnonzero(met):  # the most shared parts are left out, as many as may be
+                spare = min(pieces[j][2], int(met[j]))
+                if spare:
+                    own = shared[at[j] : at[j] + lengths[j]]
+                    drop[at[j] + np.argpartition(-own, spare - 1)[:spare]] = True
+            order = order[~drop[order]]
+            ranked = sigs[order]
+            starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            sizes = np.diff(np.append(starts, len(ranked)))
             hot = np.flatnonzero(sizes >= FREQUENT)
             frequent = ranked[starts[hot]]
-            drop = np.zeros(len(sigs), dtype=bool)
             for j in hot:
                 members = order[starts[j] : starts[j] + sizes[j]]
                 drop[members[1:]] = True  # the first stays, so that other batches' members meet the group
@@ -152,7 +176,7 @@ def _emit(n: int, buckets: int, num: int, den: int):
         def rows() -> Iterator[dict]:
             nonlocal turn
             ids: list[int] = []
-            sets: list[np.ndarray] = []
+            sets: list[list[tuple[np.ndarray, int]]] = []
             held = 0
             for whole in batches:
                 for at in range(0, whole.num_rows, 2048):
@@ -170,7 +194,7 @@ def _emit(n: int, buckets: int, num: int, den: int):
                             own = signatures(grams, bands)
                             ids.append(sid)
                             sets.append(own)
-                            held += len(own)
+                            held += sum(len(found) for found, _ in own)
                             if held >= BATCH_SIGNATURES:
                                 yield from flush(ids, sets)
                                 ids, sets, held = [], [], 0
@@ -209,7 +233,7 @@ def _meet(table: pa.Table) -> pa.Table:
     if all_sigs:
         sigs, ids, hot_sigs = np.concatenate(all_sigs), np.concatenate(all_ids), np.unique(np.concatenate(hot))
         del all_sigs, all_ids
-        order = np.argsort(sigs)
+        order = np.argsort(sigs).astype(np.int32)
         sigs = sigs[order]
         same = sigs[1:] == sigs[:-1]
         met = np.concatenate((same, [False])) | np.concatenate(([False], same))
@@ -231,9 +255,98 @@ def _meet(table: pa.Table) -> pa.Table:
             keep &= (sizes > 1) | is_hot
             rows = np.repeat(keep, sizes)
             add(1, _signed(np.repeat(names, sizes)[rows]), _signed(ids[rows]))
+        del sigs, ids
+    trim()
     return pa.Table.from_batches(found, schema=_FOUND)
 
 
+def bit_sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's n-grams in so many cells as the next power of two of its size (64 at least), packed. A sketch
+    of half as many cells is the XOR of the halves."""
+    cells = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1)
+
+
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def _sketched(n: int):
+    """(class, text) -> (class, size, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                sets = [gram_set(t.lower().split(), hashes, n) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())], ["class", "size", "sketch"])
+
+    return run
+
+
+def _survivors(group: np.ndarray, block: np.ndarray, root: np.ndarray, size: np.ndarray, ids: np.ndarray, sketches: list[bytes], one_block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs (a, b) of rows with the same ``group`` (neighbours), in different clusters, that sizes and sketches can't rule
+    out. Rows are compared at distances 1, 2, ... all at once, at the number of cells of the smaller one."""
+    widths = np.array([len(x) for x in sketches])
+    found = []
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        above = np.flatnonzero(widths == 2 * width)
+        rows = np.concatenate((own, above))
+        table = np.concatenate([np.frombuffer(b"".join(sketches[i] for i in own), dtype=np.uint8).reshape(-1, width), _halved(np.frombuffer(b"".join(sketches[i] for i in above), dtype=np.uint8).reshape(-1, 2 * width))])
+        folded = np.concatenate((np.zeros(len(own), dtype=bool), np.ones(len(above), dtype=bool)))
+        order = np.argsort(rows, kind="stable")
+        rows, table, folded = rows[order], table[order], folded[order]
+        g, b, r, s = group[rows], block[rows], root[rows], size[rows]
+        apart = ~one_block[rows]
+        step, left = 1, np.arange(len(rows) - 1)
+        while len(left):
+            left = left[left + step < len(rows)]
+            left = left[g[left] == g[left + step]]
+            right = left + step
+            fits = (r[left] != r[right]) & ~(folded[left] & folded[right]) & (den * np.minimum(s[left], s[right]) >= num * np.maximum(s[left], s[right])) & (~apart[left] | (b[left] != b[right]))
+            x, y = left[fits], right[fits]
+            for at in range(0, len(x), 65_536):
+                i, j = x[at : at + 65_536], y[at : at + 65_536]
+                near = np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64) <= (den - num) * (s[i] + s[j]) // (den + num)
+                found.append(np.stack((ids[rows[i[near]]], ids[rows[j[near]]]), axis=1))
+            step += 1
+    return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+
+
+def _across(num: int, den: int):
+    """Rows (group, low, high, block, class, root, size, sketch), those of one pair of blocks next to each other -> (a, b)
+    in different clusters that sketches can't rule out. A pair of blocks has 2 * BLOCK rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def compare(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+            column = lambda n: table.column(n).to_numpy()
+            pairs = np.unique(np.sort(_survivors(key, column("block"), column("root"), column("size"), column("class"), table.column("sketch").to_pylist(), column("low") == column("high"), num, den), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        def keys(table: pa.Table) -> np.ndarray:
+            parts = [table.column(n).to_numpy() for n in ("group", "low", "high")]
+            new = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in parts])))
+            return np.cumsum(new)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([kept, table]) if kept is not None and kept.num_rows else table
+            key = keys(table)
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
+            if whole:
+                yield compare(table.slice(0, whole), key[:whole])
+            kept = table.slice(whole)
+        if kept is not None and kept.num_rows:
+            yield compare(kept, keys(kept))
+
+    return run
+
+
 def _compare(n: int, num: int, den: int):
     """(a, b, text_a, text_b) -> (a, b) of those that link. Rows come sorted by a."""
 
@@ -253,13 +366,15 @@ def _compare(n: int, num: int, den: int):
     return run
 
 
-def _filter_bits(keys: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """A bitmap over hashed keys as (word, bits); its size is bounded whatever the number of keys."""
-    bits = 1 << 12
+def _having(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key may be wanted: probed against a bitmap of hashed keys, whose size is bounded
+    whatever their number, so that texts nobody wants are spared a shuffle."""
+    bits, count = 1 << 12, wanted.count()
     while bits < min(MOST_FILTER_BITS, 32 * count):
         bits *= 2
-    at = F.pmod("key", F.lit(bits))
-    return keys.groupBy(F.shiftright(at, 5).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 31 as int))")).alias("__bits")), bits
+    word, mask = F.shiftright(F.pmod("key", F.lit(bits)), 5), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 31 as int))")
+    bitmap = wanted.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+    return keyed.withColumn("__word", word).join(F.broadcast(bitmap), "__word").where(F.col("__bits").bitwiseAND(mask) != 0).drop("__word", "__bits")
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +385,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[Da
     buckets = buckets_for(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     schema = "kind int, bucket int, ids binary, counts binary, values binary, frequent binary, doc_ids array<bigint>, keys binary"
-    sent = keyed.mapInArrow(_emit(n, buckets, num, den), schema)
+    sent = keyed.mapInArrow(trimmed(_emit(n, buckets, num, den)), schema)
     found = materialise(sent.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, c long, d long"), "ngram-found", ["kind"])
     members = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("class"), F.col("d").alias("size"))
     groups = materialise(found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("class")).distinct(), "ngram-groups")
@@ -278,40 +393,56 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[Da
     # One text for each class that has candidates.
     wanted = groups.select("class").distinct().join(members.groupBy("class").agg(F.min("key").alias("key")), "class")
     wanted = materialise(wanted, "ngram-wanted")
-    bitmap, bits = _filter_bits(wanted, wanted.count())
-    at = F.pmod("key", F.lit(bits))
-    probed = keyed.withColumn("__word", F.shiftright(at, 5)).join(F.broadcast(bitmap), "__word").where(F.col("__bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 31 as int))")) != 0)
-    texts = materialise(probed.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key").select("class", "text"), "ngram-texts")
+    own_key = wanted.select("key", "class")
+    sketched = _having(keyed, wanted).select(F.col("key").alias("class"), "text").mapInArrow(trimmed(_sketched(n)), "class long, size long, sketch binary")
+    one_each = sketched.groupBy(F.col("class").alias("key")).agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    sketches = materialise(one_each.join(own_key, "key").select("class", "size", "sketch"), "ngram-sketches")
+    one = lambda side, df, *columns: df.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(_compare(n, num, den), "a long, b long"), "ngram-links")
+        """Those of the pairs that link, by exact comparison of their texts, which only these classes need."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(own_key, "class")
+        asked = materialise(asked, "ngram-asked")
+        texts = _having(keyed, asked).groupBy("key").agg(F.min("text").alias("text")).join(asked, "key").select("class", "text")
+        texts = materialise(texts, "ngram-texts")
+        both = pairs.join(one("b", texts, "text"), "b").join(one("a", texts, "text"), "a").select("a", "b", "text_a", "text_b")
+        return materialise(both.mapInArrow(trimmed(_compare(n, num, den)), "a long, b long"), "ngram-links")
 
     heads = groups.groupBy("group").agg(F.min("class").alias("a"))
     first = groups.join(heads, "group").where("class <> a").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a"))
-    links = linked(first)
-    low, high = 0, 4
-    while True:
-        roots = components(links).select(F.col("node").alias("class"), "root")
-        labelled = groups.join(roots, "class", "left").select("group", "class", F.coalesce("root", "class").alias("root"))
-        mixed_groups = labelled.groupBy("group").agg(F.min("root").alias("__x"), F.max("root").alias("__y")).where("__x <> __y").select("group")
-        numbered = labelled.join(mixed_groups, "group").withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy("class")) - 1)
-        numbered = materialise(numbered, "ngram-numbered")
-        if numbered.where(F.col("nth") > low).isEmpty():
-            break
-        near = numbered.where((F.col("nth") >= low) & (F.col("nth") < high)).select("group", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("nth").alias("nth_a"))
-        pairs = numbered.join(near, "group").where("nth > nth_a and root <> root_a").select("a", F.col("class").alias("b")).distinct()
-        links = materialise(links.unionByName(linked(materialise(pairs, "ngram-pairs"))), "ngram-links")
-        low, high = high, 4 * high
+    sized = first.join(one("a", sketches, "size"), "a").join(one("b", sketches, "size"), "b").where(f"{den} * least(size_a, size_b) >= {num} * greatest(size_a, size_b)")
+    # A pair is a group of two.
+    pairs = materialise(sized.select("a", "b"), "ngram-first").withColumn("group", F.xxhash64("a", "b"))
+    members_of = pairs.select("group", F.explode(F.array("a", "b")).alias("class")).withColumn("root", F.col("class"))
+    links = linked(_near(members_of, sketches, num, den))
+    roots = components(links).select(F.col("node").alias("class"), "root")
+    labelled = groups.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    links = links.unionByName(linked(_near(labelled, sketches, num, den)))
     return members, links
 
 
+def _near(labelled: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of one group (``group, class, root``) and different roots that sketches can't rule out. A group is cut into
+    blocks; members of its most common root come last, and their blocks meet the others' only."""
+    shape = labelled.groupBy("group").agg(F.min("root").alias("__x"), F.max("root").alias("__y"), F.mode("root").alias("__major")).where("__x <> __y").select("group", "__major")
+    open_ones = labelled.join(shape, "group").withColumn("__minor", (F.col("root") != F.col("__major")).cast("int"))
+    counts = open_ones.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"), F.ceil(F.sum("__minor") / BLOCK).cast("int").alias("__minors"))
+    small, large = counts.where("__blocks = 1").select("group"), counts.where("__blocks > 1")
+    simple = open_ones.join(small, "group").select("group", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "class", "root")
+    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("__minor"), "class")) - 1
+    placed = open_ones.join(large, "group").withColumn("block", F.floor(nth / BLOCK).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("block") < F.col("__minors"), F.col("__blocks")).otherwise(F.col("__minors")) - 1)
+    placed = placed.withColumn("__other", F.explode(others)).select("group", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "block", "class", "root")
+    rows = simple.unionByName(placed).join(sketches, "class").select("group", "low", "high", "block", "class", "root", "size", "sketch")
+    dealt = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    return materialise(dealt.mapInArrow(trimmed(_across(num, den)), "a long, b long").distinct(), "ngram-near")
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable), class_id (of equal sets)."""
     members, links = classes(docs, n, num, den)
-    own = members.groupBy("class").agg(F.min("doc_id").alias("least"))
     roots = components(links).select(F.col("node").alias("class"), "root")
+    own = members.groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = own.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialise(rooted.join(least, "root").select("class", "component_id"), "ngram-components")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, require
+from .common import buckets_for, materialise, require, trim, trimmed
 from .words import WordHashes, gram_hashes, mixed
 
 GRAM = 12
@@ -163,7 +163,7 @@ def _filter(keyed: DataFrame, min_words: int, buckets: int) -> np.ndarray:
         np.bitwise_or.at(values, np.searchsorted(words, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
         return pa.table({"word": pa.array(words), "bits": pa.array(values.view(np.int64))})
 
-    found = keyed.mapInArrow(ask, _ASK_DDL).groupBy("bucket").applyInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = keyed.mapInArrow(trimmed(ask), _ASK_DDL).groupBy("bucket").applyInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bitmap
@@ -248,9 +248,10 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             for r, n in zip(asked, lengths, strict=True):
                 out.append({"kind": 1, "bucket": r["bucket"], "batch": r["batch"], "hashes": np.packbits(repeated[at : at + n]).tobytes(), "owners": np.packbits(leads[at : at + n]).tobytes(), "several": np.int64(n).tobytes()})
                 at += n
+        trim()
         return pa.Table.from_pylist(out, _ASK)
 
-    answered = materialise(keyed.mapInArrow(ask, _ASK_DDL).groupBy("bucket").applyInArrow(answer, _ASK_DDL), "suffix-answers")
+    answered = materialise(keyed.mapInArrow(trimmed(ask), _ASK_DDL).groupBy("bucket").applyInArrow(answer, _ASK_DDL), "suffix-answers")
 
     def finish(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
