@@ -14,7 +14,7 @@ from .common import table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, num=4, den=5)
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, num=4, den=5).drop("class_id")
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,35 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_ring_shards, op3_repeated_passages, op4_best_fit_packing, op5_mtree_top_k, op6_quality_classifier, op7_hmm_scores, op8_byte_bpe, op9_quality_rules, op10_site_style_tree)}
 
+_WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+        ), shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets
+        ), links AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reached(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT y, c FROM reached JOIN edges ON x = reached.doc_id)
+        SELECT sets.doc_id, len(s) AS n_shingles, min(c) AS component_id FROM sets JOIN reached ON reached.doc_id = sets.doc_id GROUP BY sets.doc_id, s
+    """,
+    "op3_repeated_passages": f"""
+        WITH words AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM words WHERE len(w) >= 50)
+        ), found AS MATERIALIZED (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)
+        ), kept AS (
+            SELECT doc_id, pos, FALSE AS is_copy FROM windows JOIN found USING (h) UNION ALL SELECT doc_id, pos, TRUE FROM windows JOIN found USING (h) WHERE first <> doc_id
+        ), islands AS (
+            SELECT *, sum(new) OVER (PARTITION BY doc_id, is_copy ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k
+            FROM (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id, is_copy ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM kept)
+        )
+        SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, max(pos) + 50 - min(pos) AS n_words, is_copy FROM islands GROUP BY doc_id, is_copy, k
+    """,
     "op5_mtree_top_k": """
         WITH points AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
