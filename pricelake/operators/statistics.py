@@ -44,3 +44,11 @@ def ingest_report(rows: DataFrame) -> DataFrame:
 
 def job_rollup(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count("*").alias("files"), F.count_if(F.col("status") == "error").alias("errors"), F.sum("written").alias("rows_written"), F.sum("review").alias("rows_needs_review"))
+
+
+def list_gaps(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per list: rows, codes that repeat, sections, and pages that no row came from. rows: by, code, section, page."""
+    pages = F.collect_set("page")
+    counted = rows.groupBy(*by).agg(F.count("*").alias("rows"), (F.count("code") - F.countDistinct("code")).alias("duplicate_codes"), F.countDistinct("section").alias("sections"), pages.alias("__pages"))
+    whole = F.sequence(F.array_min("__pages"), F.array_max("__pages"))
+    return counted.withColumn("missing_pages", F.when(F.size("__pages") > 0, F.array_except(whole, "__pages"))).drop("__pages")
