@@ -17,8 +17,8 @@ has to hold its members. Groups are never expanded into all pairs: each set is f
 met, which settles true clusters in linear time. Groups that then still span several clusters are cut into blocks of
 bounded size, and only members of different clusters are compared, by bit sketches: bit i is the parity of a set's
 n-grams in cell i, so two sketches differ in at most as many bits as the sets in n-grams, and a pair that differs in more
-than k bits can't link. Only survivors leave a block, and are compared exactly, on their texts. So no link between
-clusters is lost.
+than k bits can't link. Only survivors leave a block, the nearest of each set round by round, and are compared exactly, on their texts; at last all
+that are left. So no link between clusters is lost.
 
 Equal sets are one class from the start. Null and word-less texts have no n-grams and link with nothing; texts with
 fewer words than n are one n-gram; null ids never become a component's id unless all are null; repeated rows are
@@ -50,6 +50,8 @@ FREQUENT = 64
 MOST_FILTER_BITS = 1 << 24
 #: Ids of documents to drop are broadcast up to so many; beyond, documents are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: A round of nearest pairs that links fewer is the last one before every survivor is compared.
+FEW_LINKS = 64
 #: Sets of a block of a candidate group.
 BLOCK = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -286,11 +288,12 @@ def _sketched(n: int):
     return run
 
 
-def _survivors(group: np.ndarray, block: np.ndarray, root: np.ndarray, size: np.ndarray, ids: np.ndarray, sketches: list[bytes], one_block: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs (a, b) of rows with the same ``group`` (neighbours), in different clusters, that sizes and sketches can't rule
-    out. Rows are compared at distances 1, 2, ... all at once, at the number of cells of the smaller one."""
+def _survivors(group: np.ndarray, block: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[bytes], one_block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j, how far apart) with the same ``group`` (neighbours), in different clusters, that sizes and
+    sketches can't rule out. Rows are compared at distances 1, 2, ... all at once, at the number of cells of the smaller
+    one."""
     widths = np.array([len(x) for x in sketches])
-    found = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         above = np.flatnonzero(widths == 2 * width)
@@ -310,23 +313,33 @@ def _survivors(group: np.ndarray, block: np.ndarray, root: np.ndarray, size: np.
             x, y = left[fits], right[fits]
             for at in range(0, len(x), 65_536):
                 i, j = x[at : at + 65_536], y[at : at + 65_536]
-                near = np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64) <= (den - num) * (s[i] + s[j]) // (den + num)
-                found.append(np.stack((ids[rows[i[near]]], ids[rows[j[near]]]), axis=1))
+                both = s[i] + s[j]
+                differ = np.bitwise_count(table[i] ^ table[j]).sum(axis=1, dtype=np.int64)
+                near = differ <= (den - num) * both // (den + num)
+                found.append((rows[i[near]], rows[j[near]], 10_000 * differ[near] // both[near]))
             step += 1
-    return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
 
 
-def _across(num: int, den: int):
-    """Rows (group, low, high, block, class, root, size, sketch), those of one pair of blocks next to each other -> (a, b)
-    in different clusters that sketches can't rule out. A pair of blocks has 2 * BLOCK rows at most."""
+def _across(num: int, den: int, every: bool):
+    """Rows (group, low, high, block, class, root, size, sketch), those of one pair of blocks next to each other ->
+    (group, a, b, apart) in different clusters that sketches can't rule out: for each row the nearest, or ``every`` one.
+    A pair of blocks has 2 * BLOCK rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
         def compare(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
             column = lambda n: table.column(n).to_numpy()
-            pairs = np.unique(np.sort(_survivors(key, column("block"), column("root"), column("size"), column("class"), table.column("sketch").to_pylist(), column("low") == column("high"), num, den), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            i, j, apart = _survivors(key, column("block"), column("root"), column("size"), table.column("sketch").to_pylist(), column("low") == column("high"), num, den)
+            if not every and len(i):
+                i, j, apart = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((apart, apart))
+                order = np.lexsort((j, apart, i))
+                order = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
+                i, j, apart = i[order], j[order], apart[order]
+            ids = column("class")
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            return pa.RecordBatch.from_arrays([pa.array(column("group")[i]), pa.array(a), pa.array(b), pa.array(apart)], ["group", "a", "b", "apart"])
 
         def keys(table: pa.Table) -> np.ndarray:
             parts = [table.column(n).to_numpy() for n in ("group", "low", "high")]
@@ -399,12 +412,12 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[Da
     sketches = materialise(one_each.join(own_key, "key").select("class", "size", "sketch"), "ngram-sketches")
     one = lambda side, df, *columns: df.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link, by exact comparison of their texts, which only these classes need."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(own_key, "class")
-        asked = materialise(asked, "ngram-asked")
-        texts = _having(keyed, asked).groupBy("key").agg(F.min("text").alias("text")).join(asked, "key").select("class", "text")
-        texts = materialise(texts, "ngram-texts")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(own_key, "class"), "ngram-asked")
+        return materialise(_having(keyed, asked).groupBy("key").agg(F.min("text").alias("text")).join(asked, "key").select("class", "text"), "ngram-texts")
+
+    def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Those of the pairs that link, by exact comparison of their texts."""
         both = pairs.join(one("b", texts, "text"), "b").join(one("a", texts, "text"), "a").select("a", "b", "text_a", "text_b")
         return materialise(both.mapInArrow(trimmed(_compare(n, num, den)), "a long, b long"), "ngram-links")
 
@@ -414,28 +427,68 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> tuple[Da
     # A pair is a group of two.
     pairs = materialise(sized.select("a", "b"), "ngram-first").withColumn("group", F.xxhash64("a", "b"))
     members_of = pairs.select("group", F.explode(F.array("a", "b")).alias("class")).withColumn("root", F.col("class"))
-    links = linked(_near(members_of, sketches, num, den))
+    near = materialise(_near(members_of, sketches, num, den, True).select("a", "b").distinct(), "ngram-near")
+    links = linked(near, texts_of(near))
     roots = components(links).select(F.col("node").alias("class"), "root")
-    labelled = groups.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    links = links.unionByName(linked(_near(labelled, sketches, num, den)))
+
+    # Clusters that are still apart grow together by the nearest pairs between them, round by round; a class that has no
+    # survivor in a round has none later, as clusters only grow. When a round links few pairs, every survivor is compared.
+    open_groups, texts, every = groups, None, False
+    while True:
+        known = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+        labelled = open_groups.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        found = materialise(_near(labelled, sketches, num, den, every), "ngram-near")
+        if found.isEmpty():
+            break
+        texts = texts or texts_of(found)
+        pairs = found.select("a", "b").distinct() if every else _nearest(found)
+        more = linked(pairs, texts)
+        links = links.unionByName(more)
+        if every:
+            break
+        fresh = more.count()
+        every = fresh < FEW_LINKS
+        if fresh:
+            roots = _merged(roots, more)
+        open_groups = materialise(groups.join(found.select("group").distinct(), "group", "left_semi"), "ngram-open")
     return members, links
 
 
-def _near(labelled: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of one group (``group, class, root``) and different roots that sketches can't rule out. A group is cut into
+def _nearest(found: DataFrame) -> DataFrame:
+    """For each class its nearest pair."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("class"), F.struct("apart", "a", "b").alias("pair"))
+    return ends.groupBy("class").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, root) after further links."""
+    known = lambda side: roots.select(F.col("class").alias(side), F.col("root").alias(f"root_{side}"))
+    between = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("__new"))
+    fresh = joined.select(F.col("root").alias("class"), "root").join(roots.select("class"), "class", "left_anti")
+    return materialise(roots.unionByName(fresh).join(joined, "root", "left").select("class", F.coalesce("__new", "root").alias("root")), "ngram-roots")
+
+
+def _near(labelled: DataFrame, sketches: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """(group, a, b, apart): pairs of one group (``group, class, root``) and different roots that sketches can't rule out, the
+    nearest of each class, or ``every`` one. A group is cut into
     blocks; members of its most common root come last, and their blocks meet the others' only."""
-    shape = labelled.groupBy("group").agg(F.min("root").alias("__x"), F.max("root").alias("__y"), F.mode("root").alias("__major")).where("__x <> __y").select("group", "__major")
-    open_ones = labelled.join(shape, "group").withColumn("__minor", (F.col("root") != F.col("__major")).cast("int"))
-    counts = open_ones.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"), F.ceil(F.sum("__minor") / BLOCK).cast("int").alias("__minors"))
-    small, large = counts.where("__blocks = 1").select("group"), counts.where("__blocks > 1")
-    simple = open_ones.join(small, "group").select("group", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "class", "root")
-    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("__minor"), "class")) - 1
-    placed = open_ones.join(large, "group").withColumn("block", F.floor(nth / BLOCK).cast("int"))
-    others = F.sequence(F.lit(0), F.when(F.col("block") < F.col("__minors"), F.col("__blocks")).otherwise(F.col("__minors")) - 1)
-    placed = placed.withColumn("__other", F.explode(others)).select("group", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "block", "class", "root")
-    rows = simple.unionByName(placed).join(sketches, "class").select("group", "low", "high", "block", "class", "root", "size", "sketch")
+    shape = labelled.groupBy("group").agg(F.min("root").alias("__x"), F.max("root").alias("__y"), F.mode("root").alias("__major"), F.count("*").alias("__n")).where("__x <> __y").select("group", "__major", "__n")
+    shape = materialise(shape, "ngram-shape")
+    open_ones = labelled.join(shape, "group")
+    zero = F.lit(0)
+    rows = open_ones.where(F.col("__n") <= BLOCK).select("group", zero.alias("low"), zero.alias("high"), zero.alias("block"), "class", "root")
+    if not shape.where(F.col("__n") > BLOCK).isEmpty():
+        large = open_ones.where(F.col("__n") > BLOCK).withColumn("__minor", (F.col("root") != F.col("__major")).cast("int"))
+        counts = large.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"), F.ceil(F.sum("__minor") / BLOCK).cast("int").alias("__minors"))
+        nth = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("__minor"), "class")) - 1
+        placed = large.join(counts, "group").withColumn("block", F.floor(nth / BLOCK).cast("int"))
+        others = F.sequence(F.lit(0), F.when(F.col("block") < F.col("__minors"), F.col("__blocks")).otherwise(F.col("__minors")) - 1)
+        placed = placed.withColumn("__other", F.explode(others)).select("group", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "block", "class", "root")
+        rows = rows.unionByName(placed)
+    rows = rows.join(sketches, "class").select("group", "low", "high", "block", "class", "root", "size", "sketch")
     dealt = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    return materialise(dealt.mapInArrow(trimmed(_across(num, den)), "a long, b long").distinct(), "ngram-near")
+    return dealt.mapInArrow(trimmed(_across(num, den, every)), "group long, a long, b long, apart long")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
