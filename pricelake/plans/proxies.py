@@ -33,7 +33,8 @@ class Proxies:
     @cached_property
     def base(self) -> DataFrame:
         """Rows as they were parsed: prices in their own currency, tiers, and a sequence that sorts."""
-        line, part = self.table("lineitem"), self.table("part")
+        line = self.table("lineitem")
+        part = self.table("part").withColumn("name_norm", match_key(F.col("p_name")))  # once per part, not per row
         price = F.col("l_extendedprice").cast(MONEY)
         other = F.round(price * (F.lit(1).cast("decimal(4,2)") + F.col("l_tax").cast(SHARE) - F.col("l_discount").cast(SHARE)), 2).cast(MONEY)
         item = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), price.cast("string"))
@@ -45,7 +46,7 @@ class Proxies:
             F.concat_ws("-", "l_suppkey", F.year("l_shipdate")).alias("doc_id"),
             F.col("l_partkey").cast("string").alias("code"),
             F.col("p_name").alias("name"),
-            match_key(F.col("p_name")).alias("name_norm"),
+            "name_norm",
             F.col("p_type").alias("section"),
             F.col("p_brand").alias("unit"),
             F.when(F.col("l_returnflag") == "A", "KZT").when(F.col("l_returnflag") == "N", "USD").otherwise("RUB").alias("currency"),
