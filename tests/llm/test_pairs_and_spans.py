@@ -137,7 +137,9 @@ def test_copies_are_cut(docs):
     assert out[90]["text"] is None and out[91]["text"] == ""
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [2, 200_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("pricelake.llm.components.SMALL_EDGES", small)
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100 + rnd.randrange(40), 100 + rnd.randrange(40)) for _ in range(25)] + [(7, 7)]
     parent = {}
