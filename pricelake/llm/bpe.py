@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import require
+from .common import MEMORIES, require
 
 _NO_PAIR = 1 << 62
 #: Children of a node of the segment tree: wide, since a minimum over a short slice is cheap.
@@ -130,6 +130,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+MEMORIES.append(_ENCODERS)
 
 
 def encoder(ranks_path: str, pattern: str) -> Encoder:

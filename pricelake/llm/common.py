@@ -49,11 +49,22 @@ def trim() -> None:
         pass
 
 
+#: What workers remember between tasks of one operator: dictionaries that :func:`forget` empties.
+MEMORIES: list[dict] = []
+
+
+def forget() -> None:
+    """A worker that turns to another operator drops what the last one remembered."""
+    for memory in MEMORIES:
+        memory.clear()
+
+
 def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
-    """A batch function that trims when its task ends."""
+    """A batch function that forgets other operators' memories when its task begins, and trims when it ends."""
 
     @wraps(run)
     def wrapper(batches: Iterable) -> Iterator:
+        forget()
         try:
             yield from run(batches)
         finally:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, require, text_hash
+from .common import buckets_for, materialise, require, text_hash, trimmed
 from .words import WordHashes, mixed
 
 #: Words that are symbols of their own, and classes for all others.
@@ -101,7 +101,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "hashes": pa.array([h[starts].tobytes()], pa.binary()), "counts": pa.array([np.add.reduceat(c, starts).tobytes()], pa.binary())})
 
     schema = "bucket int, hashes binary, counts binary"
-    return materialise(docs.select("text").mapInArrow(run, schema).groupBy("bucket").applyInArrow(merge, schema), "lm-counts")
+    return materialise(docs.select("text").mapInArrow(trimmed(run), schema).groupBy("bucket").applyInArrow(merge, schema), "lm-counts")
 
 
 def totals(counts: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, frequent: np.ndarray, log_frequent: np.ndarray, buck
         if doc_ids:
             yield from flush()
 
-    return materialise(docs.mapInArrow(run, schema), "lm-docs", ["kind"])
+    return materialise(docs.mapInArrow(trimmed(run), schema), "lm-docs", ["kind"])
 
 
 def _sequences(row: dict, training_only: bool) -> list[np.ndarray]:

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, require
+from .common import MEMORIES, materialise, require, trim
 
 #: Words that a worker remembers, in two generations.
-_REMEMBER = 500_000
+_REMEMBER, _REMEMBER_RUNS = 500_000, 300_000
 #: Documents of one length are ranked in so many groups at first; groups are by a hash of the row.
 _RANK_GROUPS = 64
 
@@ -126,7 +126,7 @@ class _Words(dict):
         if ids is None:
             found = [t.id for t in self.model.tokenize(text.translate(self.written))]
             ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self.runs) >= _REMEMBER:
+            if len(self.runs) >= _REMEMBER_RUNS:
                 self.runs.clear()
             self.runs[text] = ids
         return ids
@@ -151,6 +151,7 @@ class _Words(dict):
 
 
 _WORDS: dict[str, _Words] = {}
+MEMORIES.append(_WORDS)
 
 PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))])
 
@@ -183,6 +184,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capac
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [*PIECES.names, *["ids"] * with_ids])
+        trim()
 
     schema = T.StructType([*PIECES.fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

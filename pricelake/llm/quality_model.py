@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, require, text_hash
+from .common import materialise, require, text_hash, trimmed
 from .statistics import Surface, surfaces
 
 #: Rates are taken over so many words more than a text has, so that a short text doesn't look extreme by one word.
@@ -79,7 +79,7 @@ def vectors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(s) for s in surfaces(batch.column(1))], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def held_out():
@@ -121,7 +121,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
             s = _scored(model, np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = x.mapInArrow(run, "doc_id long, score double")
+    scored = x.mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -135,4 +135,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFram
             x = np.array([features(s) for s in surfaces(batch.column(batch.schema.get_field_index("text")))], dtype=float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(_scored(model, x) >= threshold, pa.bool_())).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, require
+from .common import materialise, require, trimmed
 from .statistics import Surface, surfaces
 
 #: Rules: statistic, and its cutoffs from loosest to tightest.
@@ -91,7 +91,7 @@ def measure(docs: DataFrame, stratum: str) -> DataFrame:
             columns = [batch.column(0), batch.column(1), *[pa.array([getattr(s, n) for s in found], pa.int64()) for n in BASE], pa.array([base_failed(s) for s in found], pa.bool_()), pa.array([[f(s) for f, _ in RULES.values()] for s in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), "text").mapInArrow(trimmed(run), schema)
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.06, level: float = 0.05) -> DataFrame:
@@ -147,4 +147,4 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
             good = [not base_failed(s) and not any(c is not None and f(s) > c for (f, _), c in zip(RULES.values(), cuts or (), strict=False)) for s, cuts in zip(found, cutoffs, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(names)
 
-    return with_limits.mapInArrow(run, docs.schema)
+    return with_limits.mapInArrow(trimmed(run), docs.schema)
