@@ -6,7 +6,8 @@ entropies over the pages that have it: of its contents (do pages say different t
 says the same on every page is boilerplate and its branch goes. Branches that say themselves what they are (menus,
 headers, footers, forms, adverts, comments, hidden parts, by element, role or class) have no importance whatever their
 entropy; where a page marks its article, only that is looked at. Importance needs evidence: nodes that fewer than
-``MIN_PAGES`` pages of the host have are kept.
+``MIN_PAGES`` pages of the host have are kept. Copies are no evidence: of pages with the same content a host counts one.
+A node that holds most of a page's text stays on that page.
 
 Pages are parsed once, into blocks of text with their nodes, and written to the shared folder. The tree's counts are
 plain partial aggregates, so a host with a third of all pages is never in one task; nodes to remove are joined back per
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialise, require
 
 MIN_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 8, 0.2, 0.9
+#: The node of blocks that no tree removes.
+KEPT = -1
 #: Hosts with nodes to remove are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -188,34 +191,38 @@ _STYLE_SALT = 1
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks of the article (or of the page, if none is marked), and its nodes' features."""
+    """page_id, url, host, hash of the content, blocks of the article (or of the page, if none is marked), and its nodes' features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                blocks, features = [], []
+                wholes, blocks, features = [], [], []
                 for text in batch.column(3).to_pylist():
                     page = parse(text) if text else Page()
                     chosen = [b for b in page.blocks if b[1]] or page.blocks
-                    blocks.append([{"node": n, "text": t} for n, _, t in chosen])
                     contents: dict[int, list[str]] = {}
                     for n, _, t in chosen:
                         contents.setdefault(n, []).append(t)
+                    held = {n: sum(map(len, ts)) for n, ts in contents.items()}
+                    most = sum(held.values()) / 2
+                    wholes.append(digest("\n".join(t for _, _, t in chosen)))
+                    blocks.append([{"node": KEPT if held[n] > most else n, "text": t} for n, _, t in chosen])
                     features.append([{"node": n, "content": digest("\n".join(ts)), "style": digest(" ".join(page.styles.get(n, ())))} for n, ts in contents.items()])
                 types = [pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("style", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(blocks, types[0]), pa.array(features, types[1])], ["page_id", "url", "host", "blocks", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(wholes, pa.int64()), pa.array(blocks, types[0]), pa.array(features, types[1])], ["page_id", "url", "host", "whole", "blocks", "features"])
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1))
     return pages.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html").mapInArrow(
-        run, f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, blocks array<struct<node: bigint, text: string>>, features array<struct<node: bigint, content: bigint, style: bigint>>"
+        run, f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, whole bigint, blocks array<struct<node: bigint, text: string>>, features array<struct<node: bigint, content: bigint, style: bigint>>"
     )
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of the merged trees, from :func:`parsed` pages."""
-    features = pages.where("host <> ''").select("host", F.explode("features").alias("f")).select("host", "f.node", F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("f.content").alias("value")), F.struct(F.lit("style").alias("kind"), F.col("f.style").alias("value")))).alias("x"))
+    once = pages.where("host <> ''").select("host", "whole", F.explode("features").alias("f")).distinct()
+    features = once.select("host", "f.node", F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("f.content").alias("value")), F.struct(F.lit("style").alias("kind"), F.col("f.style").alias("value")))).alias("x"))
     counted = features.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("n"))
     m, s = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     entropy = F.when(m > 1, (F.log(m) - s / m) / F.log(m)).otherwise(1.0)

@@ -184,3 +184,18 @@ def test_extraction(spark):
     assert got[102]["text"] == got[103]["text"] == "" and got[104]["text"] == "T\nin" and got[105]["text"] == "just & text <b> <b"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == len(rows)
     assert html_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_are_no_evidence(spark):
+    page = lambda words: f"<article><h1>{words} title</h1><p>{words} first<p>{words} next<ul><li>{words} point</ul></article>"
+    text = lambda words: "\n".join(f"{words} {x}" for x in ("title", "first", "next", "point"))
+    words = {n: "copied" if n < 30 else f"own {n}" for n in range(34)} | {n: f"group {n % 2}" for n in range(100, 140)}
+    got = extracted(spark, [(n, f"http://{'copies' if n < 100 else 'groups'}.x/{n}", page(w)) for n, w in words.items()])
+    assert got == {n: text(w) for n, w in words.items()}
+    same = "the same long words in the middle of every page of this host"
+    got = extracted(spark, [(n, f"http://near.x/{n}", f"<p>{same}</p><div>{n}</div><h6>small print</h6>") for n in range(9)])
+    assert got == {n: f"{same}\n{n}" for n in range(9)}
