@@ -37,15 +37,19 @@ KEPT = -1
 #: Hosts with nodes to remove are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|xmp"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+#: Elements without markup inside: all up to their end tag, or to the end of the page, is theirs. Embedded ones have
+#: markup; where no end tag follows, their start tag stands alone.
+RAW, EMBEDDED = "script style textarea title iframe xmp noembed noframes".split(), "svg math object template noscript".split()
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW + EMBEDDED}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center hr fieldset header footer nav aside form hgroup".split())
-NOISE_TAGS = frozenset("head nav footer aside form button select option input label dialog menu canvas audio video map frameset marquee".split())
+FOREIGN = frozenset(("svg", "math"))
+NOISE_TAGS = frozenset("head nav footer aside form button select option input label dialog menu canvas audio video map frameset marquee svg math object template noscript".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist note".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu submenu sidebar sidebars "
@@ -54,6 +58,9 @@ NOISE_NAMES = frozenset(
 )
 #: An open element that a start tag of the key closes, up to an element of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Start tags that end an open drawing or formula, unless inside an element of the second set.
+_ENDS_FOREIGN = (BLOCKS - {"caption", "form", "summary", "details", "tr", "td", "th", "thead", "tbody", "tfoot"}) | frozenset("b big br code em embed i img s small span strong sub sup u".split())
+_HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 _ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 
 
@@ -134,26 +141,51 @@ def parse(text: str) -> Page:
                 return None
         return None
 
+    ends: dict[str, tuple[int, int] | None] = {}
+
+    def end_of(tag: str) -> tuple[int, int] | None:
+        """Start and end of the next end tag; each is looked for once."""
+        if tag not in ends or (ends[tag] and ends[tag][0] < at):
+            found = _ENDS[tag].search(text, at)
+            ends[tag] = found and found.span()
+        return ends[tag]
+
+    def foreign() -> bool:
+        return stack[-1].noise and any(e.tag in FOREIGN for e in stack)
+
     def write(segment: str) -> None:
         if segment and not stack[-1].noise:
             parts.append(entities.unescape(segment) if "&" in segment else segment)
 
     at = 0
-    for m in _TOKEN.finditer(text):
+    while m := _TOKEN.search(text, at):
         if m.start() > at:
             write(text[at : m.start()])
         at = m.end()
-        name = m[3] or m[6]
+        name = m[2] or m[5]
         if not name:
             continue
         tag = name.lower()
-        if m[2] or m[5]:  # an end tag
+        if m[1] or m[4]:  # an end tag
             depth = open_depth({tag})
             if depth:
                 close(depth)
             elif tag in BLOCKS:
                 flush()
             continue
+        attributes = m[3] or m[6] or ""
+        if attributes.endswith("/") and (tag in FOREIGN or foreign()):
+            continue
+        if tag in _ENDS:
+            end = end_of(tag)
+            if tag in RAW:
+                at = end[1] if end else len(text)
+            if tag in RAW or not end:
+                continue
+        if tag in _ENDS_FOREIGN and stack[-1].noise:
+            depth = open_depth(FOREIGN, _HTML_IN_FOREIGN)
+            if depth:
+                close(depth)
         if tag == "br":
             write(" ")
             continue
@@ -165,7 +197,7 @@ def parse(text: str) -> Page:
             if depth:
                 close(depth)
         if tag in _ENDS_PARAGRAPH:
-            depth = open_depth({"p"}, {"article", "section", "div", "td", "th", "li", "body", "blockquote", "table", "button"})
+            depth = open_depth({"p"}, {"article", "section", "div", "td", "th", "li", "body", "blockquote", "table", "button", *EMBEDDED})
             if depth:
                 close(depth)
         if tag in VOID:
@@ -174,7 +206,7 @@ def parse(text: str) -> Page:
         if parent.noise:
             element = Element(tag, 0, True, False)
         else:
-            signature, noise = _look(tag, m[4] or m[7] or "", parent.region)
+            signature, noise = _look(tag, attributes, parent.region)
             if block:
                 owner.children.append(tag)
             element = Element(tag, _node(parent.node, signature) if block else parent.node, noise, parent.region or tag in ("article", "main"))

@@ -199,3 +199,17 @@ def test_copies_are_no_evidence(spark):
     same = "the same long words in the middle of every page of this host"
     got = extracted(spark, [(n, f"http://near.x/{n}", f"<p>{same}</p><div>{n}</div><h6>small print</h6>") for n in range(9)])
     assert got == {n: f"{same}\n{n}" for n in range(9)}
+
+
+def test_unclosed_elements_keep_the_rest():
+    text = lambda html: "|".join(t for *_, t in html_tree.parse(html).blocks)
+    assert text("<article><p>one <svg class='i'/> two</p><p>three</p></article>") == "one two|three"
+    assert text("<p>one <math/> two</p><p>three") == "one two|three"
+    assert text("<div><p>one <object data=x> two</p><p>three</p>four</div>") == "one two|three|four"
+    assert text("<div><p>one <object data=x><p>no</p></object></p><p>three</p></div>") == "one|three"
+    assert text("<p>one</p><svg-icon name=a></svg-icon><p>two</p><title-bar>three</title-bar><template-x>four") == "one|two|threefour"
+    assert text("<p>one <svg><title/><style/><path d=x/><text>no</text></svg> two</p><p>three") == "one two|three"
+    assert text("<div>one<svg><g><p>two</p></div><p>three") == "one|two|three"
+    assert text("<div>one<svg><foreignObject><p>no</p></foreignObject></svg>two</div>") == "one|two"
+    assert text("<p>one<noscript><p>no</p></noscript><template><div>no</div></template><p>two") == "one|two"
+    assert text("<p>one<script>'<p>no</p>'</SCRIPT ><p>two<style>no<p>no") == "one|two"
