@@ -5,7 +5,8 @@ entropies over the pages that have it: of its contents (do pages say different t
 (do pages lay different children out there?). Their weighted sum, between 0 and 1, is the node's importance; a node that
 says the same on every page is boilerplate and its branch goes. Branches that say themselves what they are (menus,
 headers, footers, forms, adverts, comments, hidden parts, by element, role or class) have no importance whatever their
-entropy; where a page marks its article, only that is looked at. Importance needs evidence: nodes that fewer than
+entropy. Where a page marks its article (and not just teasers: a third of the text at least), a node outside is doubted:
+its importance is worth ``PRIOR`` of one inside, and without evidence it goes. Importance needs evidence: nodes that fewer than
 ``MIN_PAGES`` pages of the host have are kept. Copies are no evidence: of pages with the same content a host counts one.
 A node that holds most of a page's text stays on that page.
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialise, require
 
 MIN_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 8, 0.2, 0.9
+#: What the importance of a doubted node is worth.
+PRIOR = 0.4
 #: The node of blocks that no tree removes.
 KEPT = -1
 #: Hosts with nodes to remove are broadcast up to so many; beyond, they are joined by shuffle.
@@ -219,11 +222,15 @@ def parse(text: str) -> Page:
     return page
 
 
-_STYLE_SALT = 1
+def weighed(page: Page) -> list[tuple[int, bool, str]]:
+    """Blocks (node, doubted?, text). The mark of an article is believed if it holds a third of the text."""
+    size, marked = sum(len(t) for *_, t in page.blocks), sum(len(t) for _, region, t in page.blocks if region)
+    believed = marked > 0 and 3 * marked >= size
+    return [(n, believed and not region, t) for n, region, t in page.blocks]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, hash of the content, blocks of the article (or of the page, if none is marked), and its nodes' features."""
+    """page_id, url, host, hash of the undoubted content, blocks, and the nodes' features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
@@ -233,43 +240,48 @@ def parsed(pages: DataFrame) -> DataFrame:
                 wholes, blocks, features = [], [], []
                 for text in batch.column(3).to_pylist():
                     page = parse(text) if text else Page()
-                    chosen = [b for b in page.blocks if b[1]] or page.blocks
+                    chosen = weighed(page)
                     contents: dict[int, list[str]] = {}
                     for n, _, t in chosen:
                         contents.setdefault(n, []).append(t)
                     held = {n: sum(map(len, ts)) for n, ts in contents.items()}
                     most = sum(held.values()) / 2
-                    wholes.append(digest("\n".join(t for _, _, t in chosen)))
-                    blocks.append([{"node": KEPT if held[n] > most else n, "text": t} for n, _, t in chosen])
-                    features.append([{"node": n, "content": digest("\n".join(ts)), "style": digest(" ".join(page.styles.get(n, ())))} for n, ts in contents.items()])
-                types = [pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("style", pa.int64())]))]
+                    doubted = {n for n, doubt, _ in chosen if doubt}
+                    wholes.append(digest("\n".join([t for _, doubt, t in chosen if not doubt] or [t for *_, t in chosen])))
+                    blocks.append([{"node": KEPT if held[n] > most else n, "doubted": doubt, "text": t} for n, doubt, t in chosen])
+                    features.append([{"node": n, "content": digest("\n".join(ts)), "style": digest(" ".join(page.styles.get(n, ()))), "doubted": n in doubted} for n, ts in contents.items()])
+                types = [pa.list_(pa.struct([("node", pa.int64()), ("doubted", pa.bool_()), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("style", pa.int64()), ("doubted", pa.bool_())]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(wholes, pa.int64()), pa.array(blocks, types[0]), pa.array(features, types[1])], ["page_id", "url", "host", "whole", "blocks", "features"])
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1))
     return pages.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html").mapInArrow(
-        run, f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, whole bigint, blocks array<struct<node: bigint, text: string>>, features array<struct<node: bigint, content: bigint, style: bigint>>"
+        run, f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, whole bigint, blocks array<struct<node: bigint, doubted: boolean, text: string>>, features array<struct<node: bigint, content: bigint, style: bigint, doubted: boolean>>"
     )
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the merged trees, from :func:`parsed` pages."""
-    once = pages.where("host <> ''").select("host", "whole", F.explode("features").alias("f")).distinct()
-    features = once.select("host", "f.node", F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("f.content").alias("value")), F.struct(F.lit("style").alias("kind"), F.col("f.style").alias("value")))).alias("x"))
-    counted = features.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("n"))
+    """(host, node, pages, importance, doubted on some page?) of the merged trees, from :func:`parsed` pages."""
+    found = pages.where("host <> ''").select("host", "whole", F.explode("features").alias("f")).select("host", "whole", "f.*")
+    once = found.groupBy("host", "whole", "node", "content", "style").agg(F.max("doubted").alias("doubted"))
+    features = once.select("host", "node", "doubted", F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")), F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")))).alias("x"))
+    counted = features.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("n"), F.max("doubted").alias("doubted"))
     m, s = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     entropy = F.when(m > 1, (F.log(m) - s / m) / F.log(m)).otherwise(1.0)
     weight = F.when(F.col("kind") == "content", CONTENT_WEIGHT).otherwise(1 - CONTENT_WEIGHT)
-    return counted.groupBy("host", "node", "kind").agg(m.alias("pages"), entropy.alias("entropy")).groupBy("host", "node").agg(F.max("pages").alias("pages"), F.sum(weight * F.col("entropy")).alias("importance"))
+    kinds = counted.groupBy("host", "node", "kind").agg(m.alias("pages"), entropy.alias("entropy"), F.max("doubted").alias("doubted"))
+    return kinds.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.sum(weight * F.col("entropy")).alias("importance"), F.max("doubted").alias("doubted"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     require(pages, "page_id", "url", "html")
     trees = materialise(parsed(pages), "pages")
-    low = importance(trees).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    removed = materialise(low.groupBy("host").agg(F.collect_set("node").alias("removed")), "site-trees")
+    low, high = F.col("importance") < LEAST_IMPORTANCE, F.col("doubted") & (PRIOR * F.col("importance") >= LEAST_IMPORTANCE)
+    known = importance(trees).where((F.col("pages") >= MIN_PAGES) & (low | high))
+    removed = materialise(known.groupBy("host").agg(F.collect_set(F.when(low, F.col("node"))).alias("removed"), F.collect_set(F.when(high, F.col("node"))).alias("trusted")), "site-trees")
     if removed.count() <= BROADCAST_HOSTS:
         removed = F.broadcast(removed)
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains(F.col("removed"), b["node"]), F.lit(False)))
+    held_in = lambda column, b: F.coalesce(F.array_contains(F.col(column), b["node"]), F.lit(False))
+    kept = F.filter("blocks", lambda b: F.when(b["doubted"], (b["node"] == KEPT) | held_in("trusted", b)).otherwise(~held_in("removed", b)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return trees.select("page_id", "url", "host", "blocks").join(removed, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -213,3 +213,10 @@ def test_unclosed_elements_keep_the_rest():
     assert text("<div>one<svg><foreignObject><p>no</p></foreignObject></svg>two</div>") == "one|two"
     assert text("<p>one<noscript><p>no</p></noscript><template><div>no</div></template><p>two") == "one|two"
     assert text("<p>one<script>'<p>no</p>'</SCRIPT ><p>two<style>no<p>no") == "one|two"
+
+
+def test_article_marks_are_a_prior(spark):
+    page = "<article><p>lead of page {n}</p></article><div><p>body {n}</p></div><section>same on all pages</section>"
+    cards = "<article><p>card</p></article><div><p>a long text beside the cards</p><p>that goes on</p></div>"
+    got = extracted(spark, [(n, f"http://parts.x/{n}", page.format(n=n)) for n in range(9)] + [(50, "http://cards.x/", cards), (51, "http://few.x/", page.format(n=1))])
+    assert got == {n: f"lead of page {n}\nbody {n}" for n in range(9)} | {50: "card\na long text beside the cards\nthat goes on", 51: "lead of page 1"}
