@@ -4,9 +4,10 @@ The DOMs of one host are merged into a tree whose nodes are paths of elements (t
 entropies over the pages that have it: of its contents (do pages say different things there?) and of its presentation
 (do pages lay different children out there?). Their weighted sum, between 0 and 1, is the node's importance; a node that
 says the same on every page is boilerplate and its branch goes. Branches that say themselves what they are (menus,
-headers, footers, forms, adverts, comments, hidden parts, by element, role or class) have no importance whatever their
-entropy. Where a page marks its article (and not just teasers: a third of the text at least), a node outside is doubted:
-its importance is worth ``PRIOR`` of one inside, and without evidence it goes. Importance needs evidence: nodes that fewer than
+headers, footers, forms, hidden parts, by element, role or attribute) never enter the tree. Where a page marks its article (and not just teasers: a third of the text at least), a node outside is doubted:
+its importance is worth ``PRIOR`` of one inside, and without evidence it goes. So is a branch whose id or class is a name
+of noise (adverts, comments and the like; not headings, nor inline elements in an article), unless such branches hold most
+of the text; a node doubted twice goes. Importance needs evidence: nodes that fewer than
 ``MIN_PAGES`` pages of the host have are kept. Copies are no evidence: of pages with the same content a host counts one.
 A node that holds most of a page's text stays on that page.
 
@@ -59,6 +60,9 @@ NOISE_NAMES = frozenset(
     "breadcrumb breadcrumbs footer masthead topbar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager login search skip".split()
 )
+#: Words that make no name of noise by themselves, nor keep one from being it.
+PLACES = frozenset("site page global main top bottom left right box bar block container wrapper wrap list links link area section panel item items slot inner outer body form button buttons icon icons header".split())
+_NEVER_NAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An open element that a start tag of the key closes, up to an element of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Start tags that end an open drawing or formula, unless inside an element of the second set.
@@ -73,14 +77,18 @@ class Element:
     node: int
     noise: bool
     region: bool
+    named: bool
+    block: bool
     children: list[str] = field(default_factory=list)
 
 
 @dataclass(slots=True)
 class Page:
-    """Blocks (node, inside the marked article?, text) in page order, and per node its children's tags."""
+    """Blocks (node, inside the marked article?, named as noise?, text) in page order, per node its children's tags, and
+    whether an article is marked, if only an empty one."""
 
-    blocks: list[tuple[int, bool, str]] = field(default_factory=list)
+    marked: bool = False
+    blocks: list[tuple[int, bool, bool, str]] = field(default_factory=list)
     styles: dict[int, list[str]] = field(default_factory=dict)
 
 
@@ -97,24 +105,32 @@ def _node(parent: int, signature: str) -> int:
     return found
 
 
-def _look(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """(signature, noise) of a start tag."""
+def _named(names: str, in_article: bool) -> bool:
+    """Is an id or class as a whole the name of noise, or made of such names and of words for places?"""
+    for name in names.split():
+        parts = {p for p in _NAME_PARTS.split(name) if p and not p.isdigit()}
+        own = parts - PLACES
+        if (own or (not in_article and "header" in parts)) and own <= NOISE_NAMES:
+            return True
+    return False
+
+
+def _look(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """(signature, noise, named as noise) of a start tag."""
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
-        return tag, True
+        return tag, True, False
     if not attributes or attributes.isspace():
-        return tag, False
+        return tag, False, False
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     noise = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in NOISE_ROLES or bool(_HIDDEN.search(found.get("style", "")))
     names = f"{found.get('id', '')} {found.get('class', '')}"
-    if not noise and tag not in ("html", "body", "main", "article"):
-        parts = set(_NAME_PARTS.split(names))
-        noise = not parts.isdisjoint(NOISE_NAMES) or (not in_article and "header" in parts)
-    return f"{tag}#{' '.join(sorted(names.split()))}", noise
+    named = not noise and tag not in _NEVER_NAMED and (tag in BLOCKS or not in_article) and _named(names, in_article)
+    return f"{tag}#{' '.join(sorted(names.split()))}", noise, named
 
 
 def parse(text: str) -> Page:
     page = Page()
-    stack = [Element("", 0, False, False)]
+    stack = [Element("", 0, False, False, False, True)]
     parts: list[str] = []
     owner = stack[0]
 
@@ -122,18 +138,18 @@ def parse(text: str) -> Page:
         if parts:
             own = " ".join("".join(parts).split())
             if own:
-                page.blocks.append((owner.node, owner.region, own))
+                page.blocks.append((owner.node, owner.region, owner.named, own))
             parts.clear()
 
     def close(count: int) -> None:
         nonlocal owner
         for _ in range(count):
             top = stack.pop()
-            if top.tag in BLOCKS:
+            if top.block:
                 flush()
                 if not top.noise:
                     page.styles.setdefault(top.node, []).extend(top.children)
-        owner = next((e for e in reversed(stack) if e.tag in BLOCKS or not e.tag), stack[0])
+        owner = next((e for e in reversed(stack) if e.block), stack[0])
 
     def open_depth(tags, limits=frozenset()) -> int | None:
         """How many elements to close, so that the innermost of ``tags`` closes."""
@@ -207,12 +223,18 @@ def parse(text: str) -> Page:
             continue
         parent = stack[-1]
         if parent.noise:
-            element = Element(tag, 0, True, False)
+            element = Element(tag, 0, True, False, False, block)
         else:
-            signature, noise = _look(tag, attributes, parent.region)
+            signature, noise, named = _look(tag, attributes, parent.region)
+            if named and not block:  # an inline element of its own importance
+                block = True
+                flush()
             if block:
                 owner.children.append(tag)
-            element = Element(tag, _node(parent.node, signature) if block else parent.node, noise, parent.region or tag in ("article", "main"))
+            named = named or parent.named
+            marks = tag in ("article", "main") and not named
+            page.marked = page.marked or marks
+            element = Element(tag, _node(parent.node, signature) if block else parent.node, noise, parent.region or marks, named, block)
         stack.append(element)
         if block:
             owner = element
@@ -222,11 +244,16 @@ def parse(text: str) -> Page:
     return page
 
 
-def weighed(page: Page) -> list[tuple[int, bool, str]]:
-    """Blocks (node, doubted?, text). The mark of an article is believed if it holds a third of the text."""
-    size, marked = sum(len(t) for *_, t in page.blocks), sum(len(t) for _, region, t in page.blocks if region)
-    believed = marked > 0 and 3 * marked >= size
-    return [(n, believed and not region, t) for n, region, t in page.blocks]
+def weighed(page: Page) -> list[tuple[int, int, str]]:
+    """Blocks (node, doubts, text). The mark of an article is believed if it holds a third of the text that isn't named
+    as noise; names are believed if they leave half of the text; next to an empty article they decide alone."""
+    inside = sum(len(t) for _, region, _, t in page.blocks if region)
+    outside = sum(len(t) for _, region, named, t in page.blocks if not region and not named)
+    article = inside > 0 and 2 * inside >= outside
+    scope = [(named, len(t)) for _, region, named, t in page.blocks if region or not article]
+    names = 2 * sum(n for named, n in scope if named) <= sum(n for _, n in scope)
+    empty = page.marked and not inside
+    return [(n, 2 if named and empty else (article and not region) + (named and (names or (article and not region))), t) for n, region, named, t in page.blocks]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -244,11 +271,13 @@ def parsed(pages: DataFrame) -> DataFrame:
                     contents: dict[int, list[str]] = {}
                     for n, _, t in chosen:
                         contents.setdefault(n, []).append(t)
-                    held = {n: sum(map(len, ts)) for n, ts in contents.items()}
+                    held: dict[int, int] = {}
+                    for n, doubts, t in chosen:
+                        held[n] = held.get(n, 0) + (len(t) if doubts < 2 else 0)
                     most = sum(held.values()) / 2
-                    doubted = {n for n, doubt, _ in chosen if doubt}
-                    wholes.append(digest("\n".join([t for _, doubt, t in chosen if not doubt] or [t for *_, t in chosen])))
-                    blocks.append([{"node": KEPT if held[n] > most else n, "doubted": doubt, "text": t} for n, doubt, t in chosen])
+                    doubted = {n for n, doubts, _ in chosen if doubts == 1}
+                    wholes.append(digest("\n".join([t for _, doubts, t in chosen if not doubts] or [t for *_, t in chosen])))
+                    blocks.append([{"node": KEPT if held[n] > most else n, "doubted": doubts > 0, "text": t} for n, doubts, t in chosen if doubts < 2])
                     features.append([{"node": n, "content": digest("\n".join(ts)), "style": digest(" ".join(page.styles.get(n, ()))), "doubted": n in doubted} for n, ts in contents.items()])
                 types = [pa.list_(pa.struct([("node", pa.int64()), ("doubted", pa.bool_()), ("text", pa.string())])), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("style", pa.int64()), ("doubted", pa.bool_())]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(wholes, pa.int64()), pa.array(blocks, types[0]), pa.array(features, types[1])], ["page_id", "url", "host", "whole", "blocks", "features"])

@@ -220,3 +220,13 @@ def test_article_marks_are_a_prior(spark):
     cards = "<article><p>card</p></article><div><p>a long text beside the cards</p><p>that goes on</p></div>"
     got = extracted(spark, [(n, f"http://parts.x/{n}", page.format(n=n)) for n in range(9)] + [(50, "http://cards.x/", cards), (51, "http://few.x/", page.format(n=1))])
     assert got == {n: f"lead of page {n}\nbody {n}" for n in range(9)} | {50: "card\na long text beside the cards\nthat goes on", 51: "lead of page 1"}
+
+
+def test_names_are_a_prior(spark):
+    named = '<article><h2 id="search">T</h2><section id="how-to-search"><p>one</p></section><div class="elementor-widget-text">two</div><p class="notice-of-rights">three <span class="share">four</span></p><div class="social-links">no</div></article>'
+    page = '<div><p>text {n} of the page</p></div><div class="widget">own {n}</div><div class="share-buttons">same</div><p>by <span class="related">{n} me</span></p>'
+    alone = '<div id="widget"><p>all text</p><p>of the page</p></div>'
+    got = extracted(spark, [(n, f"http://many.x/{n}", page.format(n=n)) for n in range(9)] + [(50, "http://named.x/", named), (51, "http://few.x/", page.format(n=1)), (52, None, alone), (53, None, '<article></article><div class="ad">no</div>'), (54, None, '<article>a</article><div class="ad">a long advert</div>')])
+    assert {n: got[n] for n in range(9)} == {n: f"text {n} of the page\nown {n}\n{n} me" for n in range(9)}  # "by" is the same on all pages
+    assert got[50] == "T\none\ntwo\nthree four" and got[51] == "text 1 of the page\nby" and got[52] == "all text\nof the page"
+    assert got[53] == "" and got[54] == "a"
