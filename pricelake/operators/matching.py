@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_set_ratio
+from ..functions.fuzzy import Choices
 from ..functions.text import match_key
 from ..schema import BOOTSTRAP_LIMIT, BOOTSTRAP_MIN_COUNT, BOOTSTRAP_SYNONYMS, MATCH_AUTO, MATCH_SUGGEST
 
-#: A catalogue is broadcast up to so many names; beyond, fuzzy candidates come from shared words.
-BROADCAST_CHOICES = 50_000
+#: Names and choices are compared block by block, in at most MOST_PARTS x MOST_PARTS tasks.
+BLOCK_KEYS, BLOCK_CHOICES, MOST_PARTS = 250, 5_000, 64
 
 
 def _first_of(rows: DataFrame, key: str, *order) -> DataFrame:
@@ -39,18 +42,40 @@ def match_exact(items: DataFrame, services: DataFrame, key: str = "name_norm") -
 def best_fuzzy(keys: DataFrame, both: DataFrame, key: str = "name_norm") -> DataFrame:
     """(key, choice, score) of the best choice of each distinct key, the earliest on ties.
 
-    A catalogue of a size that can be broadcast is compared in full with the distinct keys; a larger one only where a
-    word is shared, as a score without common words is low by nature."""
-    asked = keys.select(key).distinct()
+    At every size each key is compared with the whole catalogue, block by block; see :class:`Choices`."""
+    asked, asked_parts = _blocks(keys.select(key).distinct(), key, BLOCK_KEYS, F.col(key))
     options = both.select(F.col("key").alias("choice"), "seq", "place")
-    if options.count() <= BROADCAST_CHOICES:
-        pairs = asked.join(F.broadcast(options))
-    else:
-        words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-        pairs = asked.withColumn("__word", words(F.col(key))).join(options.withColumn("__word", words(F.col("choice"))), "__word").drop("__word").distinct()
-    scored = pairs.withColumn("score", token_set_ratio(F.col(key), F.col("choice")))
+    order = F.struct(F.col("seq").isNull().alias("last"), "seq", "place", "choice")
+    against, against_parts = _blocks(options, "choice", BLOCK_CHOICES, order)
+    pairs = asked.select(F.col("rows").alias("keys")).repartition(asked_parts).crossJoin(against.select("block", F.col("rows").alias("options")).repartition(against_parts).hint("shuffle_replicate_nl"))
+    types = dict(options.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[Choices, pa.StructArray]] = {}
+        for batch in batches:
+            for n in range(batch.num_rows):
+                block = batch.column(1)[n].as_py()
+                if block not in known:
+                    if len(known) >= 4:
+                        known.clear()
+                    rows = batch.column(2)[n].values
+                    known[block] = Choices(rows.field("choice").to_pylist()), rows
+                choices, rows = known[block]
+                names = batch.column(0)[n].values
+                found = [choices.best(name) for name in names.to_pylist()]
+                best = rows.take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([names, *(best.field(c) for c in ("choice", "seq", "place")), pa.array([score for _, score in found], pa.float64())], ["name", "choice", "seq", "place", "score"])
+
+    scored = pairs.select("keys", "block", "options").mapInArrow(run, f"name string, choice string, seq {types['seq']}, place {types['place']}, score double")
     best = F.max_by(F.struct("choice", "score"), F.struct(F.col("score"), F.struct(*[(-F.col(c)).alias(c) for c in ("seq", "place")])))
-    return scored.groupBy(key).agg(best.alias("__best")).select(key, "__best.choice", "__best.score")
+    return scored.groupBy(F.col("name").alias(key)).agg(best.alias("__best")).select(key, "__best.choice", "__best.score")
+
+
+def _blocks(rows: DataFrame, by: str, size: int, value: Column) -> tuple[DataFrame, int]:
+    """(block, rows: sorted values) of about ``size`` rows each, and in how many parts to deal them."""
+    count = -(-rows.count() // size) or 1
+    blocks = rows.groupBy(F.pmod(F.xxhash64(by), F.lit(count)).alias("block")).agg(F.collect_list(value).alias("rows"))
+    return blocks.withColumn("rows", F.array_sort("rows")), min(count, MOST_PARTS)
 
 
 def match_all(items: DataFrame, services: DataFrame, key: str = "name_norm") -> DataFrame:

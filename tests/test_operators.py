@@ -156,3 +156,23 @@ def test_visual_rows(spark):
 
 def test_golden_alignment():
     assert golden.align([("a", 1.0), ("b", 2.0), ("a", 3.0)], [("a", [9.0]), ("x", [2.3]), ("y", [3.0])]) == [0, 1, 2]
+
+
+def test_fuzzy_compares_all_at_every_size(spark, monkeypatch):
+    import random
+
+    from pricelake.functions.fuzzy import Choices, token_set_score
+
+    monkeypatch.setattr(matching, "BROADCAST_CHOICES", 1, raising=False)  # the former switch
+    monkeypatch.setattr(matching, "BLOCK_CHOICES", 2, raising=False)
+    services = spark.createDataFrame([(1, "S1", "ультросонография", ["узи"], True), (2, "S2", "анализ крови", ["оак"], True), (3, "S3", "рентген", [], True)], "seq int, service_id string, service_name string, synonyms array<string>, is_active boolean")
+    got = {r["name_norm"]: r for r in matching.match_all(spark.createDataFrame([("ультрасонография",), ("рентгин",), ("ж",), ("анализ мочи",)], "name_norm string"), services).collect()}
+    assert (got["ультрасонография"]["service_id"], got["ультрасонография"]["match_confidence"]) == ("S1", 0.9375)
+    assert (got["рентгин"]["service_id"], got["рентгин"]["match_method"]) == ("S3", "fuzzy") and got["ж"]["match_confidence"] == 0
+    assert got["анализ мочи"]["suggestion_id"] == "S2"
+    rnd = random.Random(3)
+    names = [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 4))) for _ in range(300)]
+    choices = Choices(names[:200])
+    for key in names[100:] + [None]:
+        scores = [token_set_score(key, c) for c in names[:200]]
+        assert choices.best(key) == (scores.index(max(scores)), max(scores))
