@@ -1,18 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose statistic exceeds a cutoff. In every stratum the cutoffs of a rule are tried from the
-loosest to the tightest on labelled documents; a cutoff is certified while the exact binomial (Clopper-Pearson) upper
-bound of the share of good documents it rejects stays within the rule's part of the risk. Trying them in that order, up
-to the first that fails, needs no correction for the number of cutoffs; the error level is divided by the number of
-rules and strata (Bonferroni), so that with probability ``1 - level`` no stratum loses more than ``risk`` of its good
-documents to all rules together. Among certified cutoffs the one that best parts bad from good is taken, the loosest on
-ties; a stratum with too few labels certifies none, and its rule stays off.
+Each rule rejects documents whose statistic exceeds a cutoff. In every stratum labelled documents are split by a hash of
+their id. One part proposes: starting with all rules off, the step that tightens one rule to one of its cutoffs and catches
+most bad documents for the good ones it loses is taken, again and again, which gives a sequence of rule sets, each
+rejecting more than the one before. The other part, the holdout, decides: in that order, a rule set is certified while the
+exact binomial (Clopper-Pearson) upper bound of the share of good documents that it rejects as a whole stays within the
+risk. Testing in a fixed order up to the first failure needs no correction for the number of sets; the error level is
+divided by the number of strata (Bonferroni), so that with probability ``1 - level`` no stratum loses more than ``risk`` of
+its good documents to all rules together. Among certified sets the one that parts the proposing part best is taken, the
+earliest on ties; a stratum with too few labels certifies none, and its rules stay off.
 
 A document with fewer than 50 words, or with more than half of its words in repeated three-word windows, fails the base.
 
-Null texts count as empty (they fail the base); null strata are a stratum of their own; labels of unknown documents and
-null labels are ignored; a document labelled twice counts twice; repeated rows are judged each by itself; an empty
-table gives an empty result; other columns are ignored by :func:`judge` and kept by :func:`keep`.
+Null texts count as empty (they fail the base); texts of any length are measured as a whole; null strata are a stratum of
+their own; labels of unknown documents and null labels are ignored; a document labelled twice counts twice; repeated rows
+are judged each by itself; an empty table gives an empty result; other columns, whatever their names, are ignored by
+:func:`judge` and kept by :func:`keep`.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, require, trimmed
+from .common import materialise, require, text_hash, trimmed
 from .statistics import Surface, surfaces
 
 #: Rules: statistic, and its cutoffs from loosest to tightest.
@@ -41,8 +45,10 @@ RULES = {
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Thresholds are broadcast up to so many strata; beyond, they are joined by shuffle.
 BROADCAST_STRATA = 10_000
-#: A rejected good document weighs as so many rejected bad ones (in shares) when a certified cutoff is chosen.
+#: A rejected good document weighs as so many rejected bad ones (in shares) when a certified rule set is chosen.
 GOOD_WEIGHS = 50.0
+#: One labelled document of so many proposes, the others certify.
+PROPOSES = 3
 
 
 def base_failed(s: Surface) -> bool:
@@ -63,16 +69,48 @@ def certified(rejected_good: int, good: int, risk: float, level: float) -> bool:
     return good > 0 and rejected_good < risk * good and binomial_cdf(rejected_good, good, risk) <= level
 
 
-def choose(steps: list[tuple[float, int, int]], good: int, bad: int, risk: float, level: float) -> float | None:
-    """``steps``: (cutoff, good rejected, bad rejected) from the loosest; the certified cutoff that parts best."""
-    best, cutoff = 0.0, None
-    for at, lost, caught in steps:
-        if not certified(lost, good, risk, level):
+def rejected(passed: np.ndarray, depths: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which rows a rule set rejects. ``passed``: by rule, how many of its cutoffs a row exceeds; ``depths``: by rule, the
+    number of the cutoff in force, counted from the loosest, 0 where the rule is off."""
+    return (passed + depths > lengths).any(axis=1)
+
+
+def proposed(passed: np.ndarray, good: np.ndarray, bad: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The sequence of rule sets (depths) on rows with so many good and bad documents: each time the step with the most bad
+    documents caught for good ones lost (one more than are lost, so that losing none isn't worth everything), the more
+    bad ones on ties, then the first rule, then the loosest cutoff, until nothing more is caught."""
+    depths, left, sequence = np.zeros(len(lengths), dtype=np.int64), np.ones(len(passed), dtype=bool), []
+    while True:
+        best: tuple = (0.0, 0)
+        step = None
+        for r, n in enumerate(lengths):
+            # from the tightest cutoff on: what exceeds all, all but one, ... of the rule's cutoffs
+            b, g = (np.cumsum(np.bincount(passed[left, r], weights=w[left], minlength=n + 1)[:0:-1]) for w in (bad, good))
+            for d in range(depths[r] + 1, n + 1):
+                value = (b[d - 1] / (g[d - 1] + 1), b[d - 1])
+                if value > best:
+                    best, step = value, (r, d)
+        if step is None:
+            return sequence
+        depths = depths.copy()
+        depths[step[0]] = step[1]
+        left &= ~rejected(passed, depths, lengths)
+        sequence.append(depths)
+
+
+def choose(passed: np.ndarray, good: np.ndarray, bad: np.ndarray, proposes: np.ndarray, lengths: np.ndarray, risk: float, level: float) -> np.ndarray | None:
+    """The depths of the rule set in force in a stratum. Rows hold so many ``good`` and ``bad`` documents each; those that
+    ``proposes`` marks propose, the others certify."""
+    best, chosen = 0.0, None
+    held, tried = good * ~proposes, (good * proposes, bad * proposes)
+    for depths in proposed(passed, *tried, lengths):
+        out = rejected(passed, depths, lengths)
+        if not certified(int(held[out].sum()), int(held.sum()), risk, level):
             break
-        gain = caught / max(1, bad) - GOOD_WEIGHS * lost / good
+        gain = tried[1][out].sum() / max(1, tried[1].sum()) - GOOD_WEIGHS * tried[0][out].sum() / max(1, tried[0].sum())
         if gain > best:
-            best, cutoff = gain, at
-    return cutoff
+            best, chosen = gain, depths
+    return chosen
 
 
 def _exceeded(x, cuts: tuple[float, ...]):
@@ -98,30 +136,27 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.06, level
     """(stratum, cutoffs array<double>, null where the rule is off) from documents labelled 1 (good) or 0 (bad)."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = measured.where(~F.col("base_failed")).select("doc_id", "stratum", "x").join(known, "doc_id")
-    passed = [_exceeded(F.get("x", k), cuts) for k, (_, cuts) in enumerate(RULES.values())]
-    by_rule = rows.select("stratum", "quality", F.posexplode(F.array(*passed)).alias("rule", "passed")).groupBy("stratum", "quality", "rule", "passed").agg(F.count("*").alias("n"))
-    by_rule = materialise(by_rule, "rule-counts")
-    strata = max(1, by_rule.select("stratum").distinct().count())
-    each_level, each_risk, cuts = level / (len(RULES) * strata), risk / len(RULES), [c for _, c in RULES.values()]
+    passed = F.array(*[_exceeded(F.get("x", k), cuts) for k, (_, cuts) in enumerate(RULES.values())])
+    # A histogram over the grid of cutoffs, whose size the grid bounds.
+    counted = rows.groupBy("stratum", passed.alias("passed"), (text_hash("doc_id") % PROPOSES == 0).alias("proposes")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    counted = materialise(counted, "rule-counts")
+    strata = max(1, counted.select("stratum").distinct().count())
+    cuts = [c for _, c in RULES.values()]
+    lengths = np.array(list(map(len, cuts)))
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = []
-        for k, own in enumerate(cuts):
-            rule = pdf[pdf["rule"] == k]
-            # r counts the cutoffs that a value exceeds; cutoffs fall, so it exceeds cutoff j when r >= count - j.
-            rejected = [[int(rule.loc[(rule["quality"] == q) & (rule["passed"] >= len(own) - j), "n"].sum()) for q in (1, 0)] for j in range(len(own))]
-            good, bad = (int(rule.loc[rule["quality"] == q, "n"].sum()) for q in (1, 0))
-            chosen.append(choose([(c, *r) for c, r in zip(own, rejected, strict=True)], good, bad, each_risk, each_level))
+        depths = choose(np.stack(pdf["passed"].to_list()), pdf["good"].to_numpy(), pdf["bad"].to_numpy(), pdf["proposes"].to_numpy(), lengths, risk, level / strata)
+        chosen = [None] * len(cuts) if depths is None else [own[d - 1] if d else None for own, d in zip(cuts, depths, strict=True)]
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "cutoffs": [chosen]})
 
-    return materialise(by_rule.groupBy("stratum").applyInPandas(select, "stratum string, cutoffs array<double>"), "thresholds")
+    return materialise(counted.groupBy("stratum").applyInPandas(select, "stratum string, cutoffs array<double>"), "thresholds")
 
 
-def _with_cutoffs(df: DataFrame, limits: DataFrame, stratum: str) -> DataFrame:
-    limits = limits.select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs"))
+def _with_cutoffs(df: DataFrame, limits: DataFrame, stratum: str, name: str = "__cutoffs") -> DataFrame:
+    limits = limits.select(F.col("stratum").alias(f"{name}_of"), F.col("cutoffs").alias(name))
     if limits.count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
-    return df.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
+    return df.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col(f"{name}_of")), "left").drop(f"{name}_of")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.06, level: float = 0.05) -> DataFrame:
@@ -136,14 +171,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.06, level: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     limits = thresholds(materialise(measure(docs, stratum), "measured"), labels, risk, level)
-    with_limits = _with_cutoffs(docs, limits, stratum)
-
     names = docs.columns
+    own = next(n for n in (f"__cutoffs{i}" for i in range(len(names) + 1)) if not {n, f"{n}_of"} & set(names))
+    with_limits = _with_cutoffs(docs, limits, stratum, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = surfaces(batch.column(batch.schema.get_field_index("text")))
-            cutoffs = batch.column(batch.schema.get_field_index("__cutoffs")).to_pylist()
+            cutoffs = batch.column(batch.schema.get_field_index(own)).to_pylist()
             good = [not base_failed(s) and not any(c is not None and f(s) > c for (f, _), c in zip(RULES.values(), cuts or (), strict=False)) for s, cuts in zip(found, cutoffs, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(names)
 

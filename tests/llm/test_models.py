@@ -63,7 +63,63 @@ def test_binomial_bounds():
         plain = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(plain)
     assert quality_rules.certified(0, 1000, 0.01, 0.001) and not quality_rules.certified(0, 100, 0.01, 0.001) and not quality_rules.certified(0, 0, 0.5, 0.5)
-    assert quality_rules.choose([(3.0, 0, 0), (2.0, 0, 5), (1.0, 0, 5), (0.5, 900, 9)], 1000, 10, 0.01, 0.001) == 2.0
+
+
+def plain_choice(rows, lengths, risk, level):
+    """``rows``: (passed, quality, proposes) of single documents; the rule set in force, document by document."""
+    out = lambda passed, depths: any(p + d > n for p, d, n in zip(passed, depths, lengths, strict=True))
+    depths, sequence = [0] * len(lengths), []
+    while True:
+        left = [(p, q) for p, q, proposes in rows if proposes and not out(p, depths)]
+        best = (0.0, 0, None)
+        for r, n in enumerate(lengths):
+            for d in range(depths[r] + 1, n + 1):
+                hit = [q for p, q in left if p[r] + d > n]
+                value = (hit.count(0) / (hit.count(1) + 1), hit.count(0))
+                if value > best[:2]:
+                    best = (*value, (r, d))
+        if best[2] is None:
+            break
+        depths = list(depths)
+        depths[best[2][0]] = best[2][1]
+        sequence.append(depths)
+    holdout, tried = ([x for x in rows if bool(x[2]) is side] for side in (False, True))
+    good, chosen, gain = sum(q for _, q, _ in holdout), None, 0.0
+    for own in sequence:
+        lost = sum(out(p, own) for p, q, _ in holdout if q)
+        if not good or lost >= risk * good or sum(math.comb(good, i) * risk**i * (1 - risk) ** (good - i) for i in range(lost + 1)) > level:
+            break
+        share = lambda k, own=own: sum(out(p, own) for p, q, _ in tried if q == k) / max(1, sum(q == k for _, q, _ in tried))
+        if share(0) - quality_rules.GOOD_WEIGHS * share(1) > gain:
+            gain, chosen = share(0) - quality_rules.GOOD_WEIGHS * share(1), own
+    return chosen
+
+
+def test_rule_sets_equal_a_plain_version():
+    rnd, lengths, found = random.Random(6), [3, 2, 4], set()
+    for k in range(40):
+        rows = []
+        for _ in range(rnd.choice([5, 60, 300])):
+            quality = int(rnd.random() < 0.7)
+            rows.append(([0 if quality and rnd.random() < 0.97 else rnd.randint(0, n) for n in lengths], quality, rnd.random() < 0.4))
+        grouped = Counter((tuple(p), q, side) for p, q, side in rows)
+        keys = sorted({(p, side) for p, _, side in grouped})
+        columns = [np.array([p for p, _ in keys]), *(np.array([grouped[p, q, side] for p, side in keys]) for q in (1, 0)), np.array([side for _, side in keys])]
+        got = quality_rules.choose(*columns, np.array(lengths), 0.08, 0.05 / (1 + k % 3))
+        assert (None if got is None else got.tolist()) == plain_choice(rows, lengths, 0.08, 0.05 / (1 + k % 3))
+        found.add(got is None)
+    assert found == {True, False}
+
+
+def test_rules_on_odd_rows(spark):
+    """Repeated rows, a very long text, clashing columns, no labels."""
+    rows = [(1, "word " * 200_000, "en", 1, 2), (2, "a b c d e f " * 3, "en", 1, 2), (3, " ".join(f"w{i}" for i in range(80)), None, None, 2)]
+    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string, __cutoffs0 int, __stratum int")
+    labels = spark.createDataFrame([(3, 1), (None, 0), (1, 0)], "doc_id long, quality int")
+    assert sorted((r["doc_id"], r["kept"]) for r in quality_rules.judge(docs, labels).collect()) == [(1, False), (2, False), (3, True), (3, True)]
+    kept = quality_rules.keep(docs, labels.where("false"))
+    assert [r["doc_id"] for r in kept.collect()] == [3, 3] and kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["predicted"] in (0, 1)) for r in quality_model.score(docs, labels).collect()) == [(1, True), (2, True), (3, True), (3, True)]
 
 
 def test_classifier(labelled, spark):
@@ -168,6 +224,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got.keys() == asked.keys()
 
 
+def test_pages_are_skipped_where_vectors_cluster():
+    """Of narrow clusters few are multiplied out, of directions without structure nearly all; the result is exact."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 60, (40, 8))
+    for clustered in (True, False):
+        whole = (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 8)) if clustered else rng.normal(0, 60, (4000, 8))).astype(np.int64)
+        tree = mtree.MTree(np.arange(4000), whole)
+        for q in range(0, 4000, 400):
+            best = sorted(((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q))[:5]
+            assert tree.top(whole[q], q, 5) == [(-s, i) for s, i in best]
+        share = tree.computed / (10 * 4000)
+        assert share < 0.25 if clustered else share <= 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=x>menu</a></ul></nav><div class="cookie-notice">cookies</div>
 <div class=body><h1>Title {n} &amp; &eacute;</h1><p>First   para {n}<br>goes on<p>Second <b>bold {n}</b>.<ul><li>one {n}<li>two {n}</ul>
@@ -230,3 +300,39 @@ def test_names_are_a_prior(spark):
     assert {n: got[n] for n in range(9)} == {n: f"text {n} of the page\nown {n}\n{n} me" for n in range(9)}  # "by" is the same on all pages
     assert got[50] == "T\none\ntwo\nthree four" and got[51] == "text 1 of the page\nby" and got[52] == "all text\nof the page"
     assert got[53] == "" and got[54] == "a"
+
+
+def test_parsing_is_linear():
+    import time
+
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<p><div>" + "<b>" * 100_000 + "<h1>x</h1>" * 10_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<svg>" + "<g>" * 50_000 + "<path/>" * 50_000):
+        began = time.process_time()
+        html_tree.parse(page)
+        assert time.process_time() - began < 6  # seconds on a slow machine; by the square it would be many minutes
+
+
+def test_the_tree_alone_finds_boilerplate(spark):
+    """No element, role or name says that anything is noise here."""
+    page = '<div class="x1"><div>Welcome to our site</div><div>Read our terms</div></div><div class="x2"><h1>Title {n}</h1><p>text {n} of this page</p></div><div class="x3"><p>All rights reserved</p></div>'
+    rows = [(n, f"http://plain.x/{n}", page.format(n=n)) for n in range(12)]
+    assert extracted(spark, rows) == {n: f"Title {n}\ntext {n} of this page" for n in range(12)}
+
+
+def test_importance_equals_plain_entropies(spark):
+    rnd = random.Random(4)
+    rows = [(n, f"http://h{n % 2}.x/{n}", "".join(f"<div class=c{k}><p>{rnd.choice('abc')} {k}</p>{'<h2>x</h2>' * rnd.randint(0, 1)}</div>" for k in range(3)) + f"<p>{n}</p>") for n in range(30)]
+    trees = html_tree.parsed(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).cache()
+    pages = {(r["host"], r["whole"], f["node"], f["content"], f["style"]) for r in trees.collect() for f in r["features"]}
+    expected = {}
+    for host, node in {(h, n) for h, _, n, _, _ in pages}:
+        own = [(c, s) for h, _, n, c, s in pages if (h, n) == (host, node)]
+        entropy = lambda values: 1.0 if len(values) == 1 else -sum(k / len(values) * math.log(k / len(values)) for k in Counter(values).values()) / math.log(len(values))
+        expected[host, node] = (len(own), pytest.approx(html_tree.CONTENT_WEIGHT * entropy([c for c, _ in own]) + (1 - html_tree.CONTENT_WEIGHT) * entropy([s for _, s in own])))
+    assert {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in html_tree.importance(trees).collect()} == expected
+
+
+def test_odd_pages(spark):
+    long = "<p>word</p>" * 30_000
+    rows = [(1, "http://a.x/", long, 1), (1, "http://a.x/", long, 1), (None, None, "<p>x", 2), (2, "http://a.x/", None, 3)]
+    got = html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, blocks int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 1), (1, 30_000 * 5 - 1), (1, 30_000 * 5 - 1), (2, 0)]
