@@ -15,14 +15,17 @@ Pages are parsed once, into blocks of text with their nodes, and written to the
 plain partial aggregates, so a host with a third of all pages is never in one task; nodes to remove are joined back per
 host.
 
-Null and empty html give an empty text; pages without a host are extracted without a tree; repeated rows are extracted
-each by itself; an empty table gives an empty result; columns other than page_id, url and html are ignored.
+Null and empty html give an empty text; pages without a host are extracted without a tree; pages of any length and depth,
+with unclosed or unmatched tags, are parsed in time linear in their length; repeated rows are extracted each by itself and
+count once in the tree; null ids and urls stay null; an empty table gives an empty result; columns other than page_id, url and
+html, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -133,6 +136,8 @@ def parse(text: str) -> Page:
     stack = [Element("", 0, False, False, False, True)]
     parts: list[str] = []
     owner = stack[0]
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+    open_blocks = [owner]
 
     def flush() -> None:
         if parts:
@@ -145,20 +150,19 @@ def parse(text: str) -> Page:
         nonlocal owner
         for _ in range(count):
             top = stack.pop()
+            places[top.tag].pop()
             if top.block:
+                open_blocks.pop()
                 flush()
                 if not top.noise:
                     page.styles.setdefault(top.node, []).extend(top.children)
-        owner = next((e for e in reversed(stack) if e.block), stack[0])
+        owner = open_blocks[-1]
 
     def open_depth(tags, limits=frozenset()) -> int | None:
         """How many elements to close, so that the innermost of ``tags`` closes."""
-        for depth, e in enumerate(reversed(stack), 1):
-            if e.tag in tags:
-                return depth
-            if e.tag in limits or not e.tag:
-                return None
-        return None
+        innermost = lambda some: max((places[t][-1] for t in some if places[t]), default=0)
+        found = innermost(tags)
+        return len(stack) - found if found and found >= innermost(limits) else None
 
     ends: dict[str, tuple[int, int] | None] = {}
 
@@ -170,7 +174,7 @@ def parse(text: str) -> Page:
         return ends[tag]
 
     def foreign() -> bool:
-        return stack[-1].noise and any(e.tag in FOREIGN for e in stack)
+        return stack[-1].noise and any(places[t] for t in FOREIGN)
 
     def write(segment: str) -> None:
         if segment and not stack[-1].noise:
@@ -235,9 +239,11 @@ def parse(text: str) -> Page:
             marks = tag in ("article", "main") and not named
             page.marked = page.marked or marks
             element = Element(tag, _node(parent.node, signature) if block else parent.node, noise, parent.region or marks, named, block)
+        places[tag].append(len(stack))
         stack.append(element)
         if block:
             owner = element
+            open_blocks.append(element)
     write(text[at:])
     flush()
     close(len(stack) - 1)
