@@ -10,6 +10,9 @@ Queries are grouped in blocks of bounded size. A query first searches one tree,
 bounds the search in all others, each of which returns at most k rows that are no worse. Blocks meet trees by an
 equi-join on the tree's number: a stated query set against all rows, in blocks.
 
+What is skipped depends on the data: clusters that are narrow beside the distance of the k-th best are; of directions
+without structure in many dimensions hardly any page is, as all balls reach over all others.
+
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded by zeros; ties
 go to the smaller vec_id; rows with the query's own vec_id are never its candidates; repeated rows are candidates each by itself, and an id that
 repeats is asked once, with its least vector; null ids take no part; an empty
@@ -46,6 +49,8 @@ class MTree:
     """Bulk-loaded: entries of a page lie next to each other in ``vectors``."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        #: Entries multiplied out by :meth:`top` so far.
+        self.computed = 0
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(float)
         place: list[np.ndarray] = []
@@ -104,6 +109,7 @@ class MTree:
             rows = np.arange(node.first + int(np.searchsorted(reach, bar - slack)), node.last)  # distances ascend, so bounds do
             if not len(rows):
                 continue
+            self.computed += len(rows)
             scores = self.whole[rows] @ query if self.whole is not None else np.rint(self.vectors[rows] @ q).astype(np.int64)
             ids = self.ids[rows]
             good = (scores >= bar) & (ids != own_id)
