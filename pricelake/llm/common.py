@@ -19,8 +19,11 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fallback where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a fallback serves a local
+    session; a cluster is refused, as its machines don't see each other's folders."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (given or FALLBACK_DIR).rstrip("/")
 
 
@@ -31,7 +34,17 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._pricelake_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._pricelake_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +86,15 @@ def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterato
     return wrapper
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Shuffle partitions of the session: the number of buckets grows with the cluster's own setting for the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input for a bucket of a packed exchange, about.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets_for(spark: SparkSession, df: DataFrame) -> int:
+    """Buckets of a packed exchange, each of which is one group of one task: by the bytes that ``df`` reads, and as many as
+    the session's shuffle partitions at least (also where Spark can't tell the bytes)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES) if size < 1 << 60 else 0)
 
 
 def require(df: DataFrame, *columns: str) -> None:

@@ -330,7 +330,7 @@ def score(docs: DataFrame, states: int = 6, passes: int = 4) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    buckets = buckets_for(spark, docs)
     folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_hash("doc_id") % 7 == 2, F.lit(False)).alias("held_out"), "text")
     training = folded.where(~F.col("held_out"))
     counts = count_words(training, buckets)

@@ -189,7 +189,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     with a smaller id has."""
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
-    buckets = buckets_for(spark)
+    buckets = buckets_for(spark, docs)
     key = F.xxhash64("text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(key, 2) + F.lit(1 << 61)).alias("owner"), key.alias("key"), "text")
     bitmap = spark.sparkContext.broadcast(_filter(keyed, min_words, buckets))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricelake.llm import ngram_join, suffix_dedup
 from pricelake.llm.components import components
-from pricelake.llm.ngram_join import Bands, bit_sketch, signatures
+from pricelake.llm.ngram_join import Bands, bit_sketch, signatures, signed_parts
 
 
 def shingles(text, n=5):
@@ -93,6 +93,63 @@ def test_signatures_meet():
         assert np.bitwise_count(sa ^ sb).sum() <= gone
 
 
+def test_whole_parts_may_be_left_out():
+    """Also where each of two sets at the bound leaves out as many whole parts as it may, those that it shares first; the
+    subsets of a second level are there from some hundred n-grams on."""
+    rng, bands, levels = np.random.default_rng(14), Bands(), set()
+    for _ in range(150):
+        n = int(rng.choice([6, 20, 90, 160, 300, 700]))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = len(a) - -(-8 * len(a) // 10)
+        b = np.delete(a, rng.choice(len(a), gone, replace=False)) if gone else a
+        levels.add(bands.parts(bands.of(len(a)))[1].shape[1])
+        kept = []
+        for x, y in ((a, b), (b, a)):
+            others = set().union(*(set(found.tolist()) for found, _, _ in signed_parts(y, bands)))
+            own = set()
+            for found, part, spare in signed_parts(x, bands):
+                shared = sorted(set(part.tolist()), key=lambda p: -sum(s in others for s in found[part == p].tolist()))
+                own |= set(found[~np.isin(part, shared[:spare])].tolist())
+            kept.append(own)
+        assert kept[0] & kept[1]
+    assert levels == {1, 3}
+
+
+def test_low_bits_and_bucket_are_the_signature():
+    sigs = (np.uint64(7) << np.uint64(40)) | np.random.default_rng(0).integers(0, 1 << 40, 50).astype(np.uint64)
+    assert (ngram_join._whole(ngram_join._short(sigs), 7) == sigs).all() and len(ngram_join._short(sigs)) == 250
+
+
+def test_rows_grow_with_the_sets(spark, monkeypatch):
+    """Copies of one text that mostly don't link: no stage writes more than some rows for each of them."""
+    made = {}
+    old = ngram_join.materialise
+
+    def counted(df, name, *more):
+        out = old(df, name, *more)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    rnd = random.Random(3)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        own = list(words)
+        for _ in range(rnd.randint(3, 9)):
+            own[rnd.randrange(len(own))] = f"e{rnd.randrange(50)}"
+        rows.append((i, " ".join(own)))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == least_reachable(rows)
+    assert all(made[name] <= 12 * len(rows) for name in ("ngram-near", "ngram-edges", "ngram-regions", "ngram-more"))
+
+
+def test_one_id_with_several_texts(spark):
+    text, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, text), (5, text), (5, other), (7, text + " more"), (None, text), (None, "alone and without any copy"), (3, text)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, text), (3, text), (5, other), (None, "alone and without any copy")], key=str)
+
+
 def test_one_of_each_keeps_the_rest(docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
