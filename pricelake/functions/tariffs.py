@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import IMPLAUSIBLE_PRICE, MONEY
+from .text import let
 
 # What a resident's column is called.
 RESIDENT_WORDS = ("резидент", "граждан республики", "постоянно прожива", "кандас", "оралман")
@@ -22,26 +23,28 @@ def map_tariffs(prices: Column, labels: Column, strict: bool = False) -> Column:
     """struct(resident, nonresident, extra): the resident's price (by label, else the first), the next one to the right
     (else the nearest to the left), and all others by label or ``tier_n``. Labels count only if there are as many as
     prices."""
-    labelled = F.coalesce((F.size(labels) > 0) & (F.size(labels) == F.size(prices)), F.lit(False))
     hits = F.transform(labels, lambda x: is_resident_label(x, strict))
+    labelled = F.coalesce((F.size(labels) > 0) & (F.size(labels) == F.size(prices)), F.lit(False))
     found = F.coalesce(F.array_position(hits, True), F.lit(0)).cast("int")
-    resident = F.when(labelled & (found > 0), found - 1).otherwise(F.lit(0))  # from 0
-    second = F.when(resident + 1 < F.size(prices), resident + 1).otherwise(resident - 1)
-    places = F.filter(F.transform(prices, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: (x["i"] != resident) & (x["i"] != second))
-    entries = F.transform(
-        places,
-        lambda x: F.struct(
-            F.when(labelled & (F.coalesce(F.get(labels, x["i"]), F.lit("")) != ""), F.regexp_replace(F.get(labels, x["i"]), r"(?U)^\s+|\s+$", "")).otherwise(F.concat(F.lit("tier_"), (x["i"] + 1).cast("string"))).alias("key"),
-            x["p"].alias("value"),
-        ),
-    )
-    # A later price of the same label replaces an earlier one.
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
-    return F.struct(
-        F.get(prices, resident).alias("resident"),
-        F.when(second >= 0, F.get(prices, second)).alias("nonresident"),
-        F.coalesce(F.map_from_entries(last), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).alias("extra"),
-    )
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+
+    def placed(x):
+        resident = F.when(x["labelled"] & (x["found"] > 0), x["found"] - 1).otherwise(F.lit(0))  # from 0
+        return let(resident, lambda r: let(F.when(r + 1 < F.size(prices), r + 1).otherwise(r - 1), lambda second: mapped(x["labelled"], r, second)))
+
+    def mapped(labelled, resident, second):
+        named = lambda i: F.when(labelled, F.nullif(F.regexp_replace(F.get(labels, i), r"(?U)^\s+|\s+$", ""), F.lit("")))
+        blank = lambda i: F.when(labelled & (F.coalesce(F.get(labels, i), F.lit("")) != ""), F.lit(""))  # noqa: E731  a label of spaces
+        entries = F.transform(prices, lambda p, i: F.struct(i.alias("i"), F.coalesce(named(i), blank(i), F.concat(F.lit("tier_"), (i + 1).cast("string"))).alias("key"), p.alias("value")))
+        return let(F.filter(entries, lambda e: (e["i"] != resident) & (e["i"] != second)), lambda own: result(resident, second, own))
+
+    def result(resident, second, entries):
+        # A later price of the same label replaces an earlier one.
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
+        extra = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+        return F.struct(F.get(prices, resident).alias("resident"), F.when(second >= 0, F.get(prices, second)).alias("nonresident"), F.coalesce(extra, nothing).alias("extra"))
+
+    return let(F.struct(labelled.alias("labelled"), found.alias("found")), placed)
 
 
 def to_kzt(value: Column, currency: Column, rate: Column) -> Column:

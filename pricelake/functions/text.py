@@ -190,7 +190,7 @@ def reasons_text(reasons: Column) -> Column:
 def llm_flags(reason: Column) -> Column:
     """What stands after ``LLM:`` in the parts of a reason."""
     parts = F.transform(F.split(F.coalesce(reason, F.lit("")), ";"), strip)
-    flags = F.transform(F.filter(parts, lambda p: p.startswith("LLM:")), lambda p: strip(F.substring(p, 5, 10_000)))
+    flags = F.transform(F.filter(parts, lambda p: p.startswith("LLM:")), lambda p: strip(F.substring(p, F.lit(5), F.length(p))))
     return F.filter(flags, lambda p: p != "")
 
 

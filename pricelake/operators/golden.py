@@ -14,7 +14,9 @@ def compare(golden: DataFrame, parsed: DataFrame, tolerance: float = 0.5) -> Dat
     row_id; golden: golden_id). By key, else by code; of several, the one of the same code, then of the nearest price."""
     p = parsed.select(*[F.col(c).alias(f"p_{c}") for c in ("row_id", "key", "code_key", "resident", "nonresident", "currency", "tiers", "needs_review")])
     by_key = golden.join(p, F.col("key") == F.col("p_key")).withColumn("__how", F.lit(0))
-    by_code = golden.where("coalesce(code_key, '') <> ''").join(p, F.col("code_key") == F.col("p_code_key")).withColumn("__how", F.lit(1))
+    # Rows that a key settles never look at codes.
+    settled = p.select("p_key").where("p_key is not null").distinct()
+    by_code = golden.where("coalesce(code_key, '') <> ''").join(settled, F.col("key") == F.col("p_key"), "left_anti").join(p, F.col("code_key") == F.col("p_code_key")).withColumn("__how", F.lit(1))
     order = [F.col("__how"), (~F.coalesce(F.col("code_key") == F.col("p_code_key"), F.lit(False))).cast("int"), F.coalesce(F.abs(F.col("resident") - F.col("p_resident")), F.lit(1e18)), F.col("p_row_id")]
     best = by_key.unionByName(by_code).withColumn("__nth", F.row_number().over(Window.partitionBy("golden_id").orderBy(*order))).where("__nth = 1")
     picked = golden.select("golden_id", "currency", "resident", "nonresident").join(best.select("golden_id", *[f"p_{c}" for c in ("row_id", "resident", "nonresident", "currency", "tiers", "needs_review")]), "golden_id", "left")
@@ -40,20 +42,14 @@ def accuracy(verdicts: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def align(golden: list[tuple[str, float | None]], parsed: list[tuple[str, list[float]]], tolerance: float = 0.5) -> list[int | None]:
-    """For each golden (key, price) of one document the parsed row (key, prices) it takes, or None. Names are served
-    first, then any price within the tolerance; each parsed row is taken once. The order decides, so this is a walk over
-    one document's rows: use it in ``applyInPandas`` per document."""
+    """For each golden (key, price) of one document the parsed row (key, prices) it takes, or None: one row after the
+    other, the first free row of its name, else the first free one with a price within the tolerance."""
     free = dict.fromkeys(range(len(parsed)))
-    taken: list[int | None] = [None] * len(golden)
-    for i, (key, _) in enumerate(golden):
+    taken: list[int | None] = []
+    for key, price in golden:
         hit = next((j for j in free if parsed[j][0] == key), None)
-        if hit is not None:
-            taken[i] = hit
-            del free[hit]
-    for i, (_, price) in enumerate(golden):
-        if taken[i] is None and price is not None:
+        if hit is None and price is not None:
             hit = next((j for j in free if any(abs(p - price) <= tolerance for p in parsed[j][1])), None)
-            if hit is not None:
-                taken[i] = hit
-                del free[hit]
+        free.pop(hit, None)
+        taken.append(hit)
     return taken

@@ -29,6 +29,18 @@ def related_pairs(items: DataFrame, seeds: DataFrame) -> DataFrame:
     return by_code.select("seed_id", "item_id").union(by_name.select("seed_id", "item_id")).distinct()
 
 
+def related_counts(items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed_id, related) for many seeds: how many items share the partner and the code or the name, by counts of both less
+    the counts of those that share all, so that no pair is written. Seeds without any are left out."""
+    out = seeds.select(F.col("item_id").alias("seed_id"), "partner_id", "code", "name_norm")
+    keys = {"__code": ["partner_id", "code"], "__name": ["partner_id", "name_norm"], "__both": ["partner_id", "code", "name_norm"]}
+    for n, by in keys.items():
+        out = out.join(items.dropna(subset=by).groupBy(*by).agg(F.count("*").alias(n)), by, "left")
+    none = F.lit(0)
+    related = F.coalesce("__code", none) + F.coalesce("__name", none) - F.coalesce("__both", none)
+    return out.select("seed_id", related.alias("related")).where("related > 0")
+
+
 def points(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One row per date: the first with a resident price, else the first."""
     first = Window.partitionBy(*by, "effective_date").orderBy(F.col("price_resident").isNull(), *order)

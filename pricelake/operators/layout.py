@@ -74,20 +74,20 @@ def grid(words: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("page").cast("string").alias("sheet"), F.col("row").alias("row_idx"), whole.alias("cells"))
 
 
-def segments(rows: DataFrame, by: list[str]) -> DataFrame:
+def segments(rows: DataFrame, by: list[str], floor: float = GAP_FLOOR) -> DataFrame:
     """Adds ``cell``: a row of words breaks where a gap exceeds both the floor and a multiple of the row's upper median
     gap."""
     w = Window.partitionBy(*by).orderBy("x0", "x1")
     gaps = rows.withColumn("__gap", F.col("x0") - F.lag("x1").over(w))
     positive = F.array_sort(F.collect_list(F.when(F.col("__gap") > 0, F.col("__gap"))).over(Window.partitionBy(*by)))
     median = F.coalesce(F.get(positive, F.floor(F.size(positive) / 2).cast("int")), F.lit(0.0))
-    wide = (F.col("__gap") > F.greatest(F.lit(GAP_FLOOR), median * GAP_FACTOR)).cast("int")
+    wide = (F.col("__gap") > F.greatest(F.lit(floor), median * GAP_FACTOR)).cast("int")
     return gaps.withColumn("__wide", F.coalesce(wide, F.lit(0))).withColumn("cell", F.sum("__wide").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__wide")
 
 
-def cells(rows: DataFrame, by: list[str]) -> DataFrame:
+def cells(rows: DataFrame, by: list[str], floor: float = GAP_FLOOR) -> DataFrame:
     """The segments' texts: (by, cell, text, x0, x1)."""
-    return segments(rows, by).groupBy(*by, "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max_by("x1", "x0").alias("x1"))
+    return segments(rows, by, floor).groupBy(*by, "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max_by("x1", "x0").alias("x1"))
 
 
 def with_wrapped_names(lines: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -157,7 +157,7 @@ def looks_like_unit(text: Column) -> Column:
         return let(tokens, lambda ts: let(F.coalesce(F.get(ts, F.lit(0)).rlike(r"^\d{1,3}$"), F.lit(False)), lambda counted: fits(low, ts, counted)))
 
     def fits(low, tokens, counted):
-        rest = F.slice(tokens, F.when(counted, 2).otherwise(1), F.lit(100))
+        rest = F.slice(tokens, F.when(counted, 2).otherwise(1), F.greatest(F.size(tokens), F.lit(1)))
         words = F.regexp_extract_all(F.array_join(rest, " "), F.lit(r"(?U)([\p{L}]+)"), 1)
         return let(words, lambda ws: (low != "") & (F.length(low) <= 40) & F.size(ws).between(1, 4) & (vocabulary(ws) | (counted & (F.size(ws) <= 2) & F.forall(ws, lambda w: F.length(w) <= 14))))
 
@@ -186,6 +186,16 @@ def is_section_of_scan(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"(?iuU)^({SECTION_WORDS})\b") | ((F.length(letters) >= 4) & (F.length(capitals) / F.length(letters) >= 0.75)), F.lit(False))
 
 
+def leading_code(text: Column) -> Column:
+    """struct(code, name): a leading code, else a leading row number is dropped."""
+
+    def look(tokens):
+        head = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
+        return let(head.rlike(LEADING_CODE), lambda coded: F.struct(F.when(coded, head).alias("code"), F.array_join(F.slice(tokens, F.when(coded | head.rlike(r"^\d{1,4}$"), 2).otherwise(1), F.greatest(F.size(tokens), F.lit(1))), " ").alias("name")))
+
+    return let(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), look)
+
+
 def code_and_name(text: Column) -> Column:
     """struct(code, name): a leading code; else, after a leading row number is dropped, the only code inside, joined with
     a one- or two-letter prefix that stands apart. Two codes inside are none."""
@@ -193,7 +203,7 @@ def code_and_name(text: Column) -> Column:
     def look(tokens):
         head = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
         leading = head.rlike(LEADING_CODE)
-        rest = F.slice(tokens, F.when(leading | head.rlike(r"^\d{1,4}$"), 2).otherwise(1), F.lit(10_000))
+        rest = F.slice(tokens, F.when(leading | head.rlike(r"^\d{1,4}$"), 2).otherwise(1), F.greatest(F.size(tokens), F.lit(1)))
         return let(F.struct(leading.alias("leading"), rest.alias("rest")), lambda x: inside(head, x["leading"], x["rest"]))
 
     def inside(head, leading, rest):

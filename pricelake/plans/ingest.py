@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tariffs import map_tariffs, sane, sane_reason, tiers_to_kzt, to_kzt
 from ..functions.text import clean_section, match_key
-from ..operators import grid, matching, quality
+from ..operators import grid, matching, pages, quality
 from ..operators.statistics import ingest_report
 from ..operators.versions import fold, version_key
 from ..schema import IMPLAUSIBLE_PRICE
-from ..sources import formats, office
+from ..sources import archives, formats, model_rows, office
 
 
 def parsed_rows(files: DataFrame) -> DataFrame:
@@ -26,6 +27,43 @@ def parsed_rows(files: DataFrame) -> DataFrame:
     return rows.withColumn("__t", tiers).select("doc_id", F.concat_ws("/", "sheet", F.lpad(F.col("row_idx").cast("string"), 8, "0")).alias("place"), "name", "code", "unit", "section", "raw", F.lit("KZT").alias("currency"), F.col("__t.resident").alias("resident"), F.col("__t.nonresident").alias("nonresident"), F.col("__t.extra").alias("tiers"))
 
 
+_ROWS = ["doc_id", "place", "name", "code", "unit", "section", "raw", "currency", "resident", "nonresident", "tiers", "issues"]
+
+
+def page_rows(words: DataFrame, scanned: bool = False) -> DataFrame:
+    """Rows of pages of positioned words (see :mod:`..operators.pages`), with their tiers mapped where no columns told them;
+    a row whose columns don't match the header page's has prices but no resident's, and says so."""
+    rows = pages.scan_rows(words) if scanned else pages.text_rows(words)
+    t = F.when(F.col("tariffs_resolved"), F.struct("resident", "nonresident", F.col("extra_tiers").alias("extra"))).otherwise(map_tariffs(F.col("prices"), F.array().cast("array<string>")))
+    place = F.concat_ws("/", F.lpad(F.col("page").cast("string"), 6, "0"), F.lpad(F.col("row").cast("string"), 8, "0"))
+    return rows.withColumn("__t", t).select("doc_id", place.alias("place"), "name", "code", "unit", "section", "raw", "currency", F.col("__t.resident").alias("resident"), F.col("__t.nonresident").alias("nonresident"), F.col("__t.extra").alias("tiers"), F.array().cast("array<string>").alias("issues"))
+
+
+def answer_rows(answers: DataFrame) -> DataFrame:
+    """Rows of language models' answers (``doc_id, answer``)."""
+    found = model_rows.rows(answers)
+    return found.select("doc_id", F.lpad(F.col("place").cast("string"), 8, "0").alias("place"), "name", "code", "unit", "section", F.lit(None).cast("string").alias("raw"), "currency", "resident", "nonresident", F.col("extra_tiers").alias("tiers"), F.array().cast("array<string>").alias("issues"))
+
+
+def bundled(files: DataFrame) -> DataFrame:
+    """Files (``path, content, file_format``) with zip bundles replaced by their members, whose paths go on from the
+    bundle's; a bundle that is refused stays, as a file of format ``refused``."""
+    zipped = F.col("file_format") == "zip"
+    members = archives.documents(files.where(zipped))
+    path = F.when(F.col("error").isNull(), F.concat_ws("/", "archive", "path")).otherwise(F.col("archive"))
+    inside = members.select(path.alias("path"), "content", F.when(F.col("error").isNotNull(), "refused").otherwise(F.coalesce(formats.file_format(F.col("path")), formats.suffix(F.col("path")))).alias("file_format"))
+    return files.where(~zipped | F.col("file_format").isNull()).select("path", "content", "file_format").unionByName(inside)
+
+
+def all_rows(files: DataFrame, words: DataFrame | None = None, scans: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """Rows of everything that can be read here: files, bundles, words of text layers and of recognised pages, and answers."""
+    parts = [parsed_rows(bundled(files)).withColumn("issues", F.array().cast("array<string>"))]
+    parts += [page_rows(words)] if words is not None else []
+    parts += [page_rows(scans, scanned=True)] if scans is not None else []
+    parts += [answer_rows(answers)] if answers is not None else []
+    return reduce(DataFrame.unionByName, [p.select(*_ROWS) for p in parts])
+
+
 def documents(files: DataFrame) -> DataFrame:
     """doc_id, partner, file_format, effective_date, content_sha256 of files that are new by content."""
     path = F.col("path")

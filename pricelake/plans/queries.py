@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, tariffs, text
-from ..operators import golden, grid, history, layout, matching, overlay, quality, queries, rates, statistics
+from ..operators import golden, grid, history, layout, matching, overlay, pages, quality, queries, rates, statistics
 from ..sources import formats, model_rows, rate_feed
 from ..sources import catalogue as catalogue_files
 from .oracles import sql
@@ -166,8 +166,7 @@ def item_history(p: Proxies) -> DataFrame:
     )
 )
 def history_bulk(p: Proxies) -> DataFrame:
-    pairs = history.related_pairs(p.items, p.items.where("is_active"))
-    return pairs.groupBy("seed_id").agg(F.count("*").alias("related"))
+    return history.related_counts(p.items, p.items.where("is_active"))
 
 
 _POINTS = "points AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY partner_id, name_norm, effective_date ORDER BY price_resident IS NULL, seq) AS nth FROM priced) WHERE nth = 1)"
@@ -384,6 +383,14 @@ def normalize_names(p: Proxies) -> DataFrame:
     return p.base.select("item_id", text.match_key(_noisy()).alias("key"))
 
 
+@query(sql("SELECT item_id, CASE l_linenumber % 4 WHEN 0 THEN 'ультразвуковое исследование сердца ' WHEN 1 THEN 'магнитно-резонансная томография головы ' WHEN 2 THEN 'елка и электрокардиография, повторно ' ELSE 'фиброгастродуоденоскопия (ультразвуковое исследование) ' END || name_norm AS key FROM base"))
+def folded_names(p: Proxies) -> DataFrame:
+    """Latin letters inside Cyrillic words, ё, abbreviations between other signs, and Latin words that stay."""
+    n = F.col("l_linenumber") % 4
+    raw = F.when(n == 0, "УЗИ cepдцa").when(n == 1, "\u00a0МPТ  гoлoвы").when(n == 2, "Ёлка и экг, пoвторно").otherwise("ФГДС (узи)")
+    return p.base.select("item_id", text.match_key(F.concat(raw, F.lit(" "), F.col("name"))).alias("key"))
+
+
 @query("SELECT doc_id, regexp_replace(upper(translate(url_code, 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX')), '[^A-Z0-9.]', '', 'g') AS code FROM (SELECT doc_id, 'В ' || lang || '.' || doc_id || '-Н' AS url_code FROM documents)")
 def codenorm(p: Proxies) -> DataFrame:
     return p.table("documents").select("doc_id", text.code_norm(F.concat(F.lit("В "), "lang", F.lit("."), F.col("doc_id").cast("string"), F.lit("-Н"))).alias("code"))
@@ -654,19 +661,67 @@ def layout_name_buffer(p: Proxies) -> DataFrame:
     return layout.with_wrapped_names(lines, ["doc_id"], "k").select("doc_id", "k", "name")
 
 
-@query()
+@query(sql("SELECT item_id, '1 посещение' AS unit, CAST(price_original AS DOUBLE) AS price, 'В02.110.002' AS code, name FROM base"))
 def layout_rows(p: Proxies) -> DataFrame:
-    """Codes, units and tiers of assembled lines; compared with expected values in the tests."""
+    """Codes, units and tiers of assembled lines."""
     texts = F.array(F.concat(F.lit("12 "), F.col("name"), F.lit(" В02.110.002")), F.lit("1 посещение"), F.col("price_original").cast("string"))
     split = p.base.select("item_id", layout.split_row(texts).alias("s"))
     coded = split.select("item_id", "s.unit", "s.prices", layout.code_and_name(F.col("s.name")).alias("c"))
     return coded.select("item_id", "unit", F.get("prices", F.lit(0)).alias("price"), "c.code", "c.name")
 
 
+def _page_words(p: Proxies) -> DataFrame:
+    """A document per partner, 40 lines a page: every 20th line is a section, every 10th wraps into the next one, and the
+    first page has a header over its two price columns, the resident's second."""
+    k = F.row_number().over(Window.partitionBy("partner_id").orderBy("seq"))
+    box = lambda x, width, text: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), text.alias("text"))
+    before = [box(10 + 30 * i, 28, F.lit(w)) for i, w in enumerate(("услуга", "врача", "по", "записи", "номер"))]
+    named = F.array(*before, box(160, 28, F.col("name")))
+    priced = F.concat(named, F.array(box(400, 40, F.col("nonresident_original").cast("string")), box(500, 40, F.col("price_original").cast("string"))))
+    title = F.array(box(10, 28, F.lit("РАЗДЕЛ")), box(40, 28, F.floor(F.col("k") / 20).cast("string")))
+    boxes = F.when(F.col("k") % 20 == 0, title).when(F.col("k") % 10 == 5, named).otherwise(priced)
+    lines = p.base.withColumn("k", k).select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), (F.floor((F.col("k") - 1) / 40) + 1).cast("int").alias("page"), ((F.col("k") - 1) % 40 * 20.0 + 60).alias("top"), F.explode(boxes).alias("b"))
+    head = F.explode(F.array(box(400, 40, F.lit("Нерезиденты")), box(500, 40, F.lit("Резиденты"))))
+    heads = lines.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page"), F.lit(20.0).alias("top"), head.alias("b"))
+    return lines.unionByName(heads).select("doc_id", "page", F.lit(600.0).alias("page_width"), "top", "b.*")
+
+
+_LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY item_id) AS k FROM base), read AS (SELECT *, 'd' || partner_id AS doc, CAST((k - 1) // 40 + 1 AS INTEGER) AS page, 'услуга врача по записи номер ' || name AS own, lag('услуга врача по записи номер ' || name || ' ') OVER (PARTITION BY partner_id ORDER BY k) AS upper FROM lines)"
+_NAMED = "CASE WHEN k % 10 = 6 THEN upper ELSE '' END || own"
+
+
+@query(sql(f"SELECT doc AS doc_id, page, {_NAMED} AS name, CASE WHEN k > 20 THEN 'РАЗДЕЛ ' || k // 20 END AS section, CAST(price_original AS DOUBLE) AS resident, CAST(nonresident_original AS DOUBLE) AS nonresident, TRUE AS tariffs_resolved FROM read WHERE k % 20 <> 0 AND k % 10 <> 5", _LINES))
+def text_page_rows(p: Proxies) -> DataFrame:
+    """Price rows of pages with a text layer: columns, wrapped names, sections, tiers learnt from the first page."""
+    return pages.text_rows(_page_words(p)).select("doc_id", "page", "name", "section", "resident", "nonresident", "tariffs_resolved")
+
+
+@query(sql(f"SELECT doc AS doc_id, page, {_NAMED} AS name, CASE WHEN k // 20 * 20 > (page - 1) * 40 THEN 'РАЗДЕЛ ' || k // 20 END AS section, CAST(nonresident_original AS DOUBLE) AS first_price, CAST(price_original AS DOUBLE) AS second_price FROM read WHERE k % 20 <> 0 AND k % 10 <> 5", _LINES))
+def scan_page_rows(p: Proxies) -> DataFrame:
+    """Price rows of recognised pages, line by line."""
+    words = _page_words(p).where("top >= 60")
+    return pages.scan_rows(words).select("doc_id", "page", "name", "section", F.get("prices", F.lit(0)).alias("first_price"), F.get("prices", F.lit(1)).alias("second_price"))
+
+
+_PAIRED = "lines AS (SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY item_id) AS k FROM base)"
+
+
+@query(sql("SELECT 'd' || partner_id AS doc_id, item_id AS golden_id, CASE WHEN k % 15 <> 0 THEN item_id END AS row_id, CASE WHEN k % 15 = 0 THEN NULL WHEN k % 3 = 0 THEN 'price' ELSE 'name' END AS how, CASE WHEN k % 15 = 0 THEN 'missing' WHEN k % 3 = 0 THEN 'garbled' WHEN k % 3 = 1 THEN 'wrong' ELSE 'ok' END AS status FROM lines", _PAIRED))
+def golden_aligned(p: Proxies) -> DataFrame:
+    """Golden rows against parsed ones, one to one: two of three by name, one in three of those at another price, the
+    rest by price, as far as they have any."""
+    k = F.row_number().over(Window.partitionBy("partner_id").orderBy("seq"))
+    rows = p.base.select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), "item_id", k.alias("k"))
+    price = (F.col("k") * 10).cast("double")
+    asked = rows.select("doc_id", F.col("item_id").alias("golden_id"), F.concat(F.when(F.col("k") % 3 == 0, "lost").otherwise("k"), F.col("k").cast("string")).alias("key"), F.when(F.col("k") % 15 != 0, price).alias("resident"), F.lit(None).cast("double").alias("nonresident"))
+    parsed = rows.select("doc_id", F.col("item_id").alias("row_id"), F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"), F.array(price + F.when(F.col("k") % 3 == 1, 1_000_003.0).otherwise(0.0)).alias("prices"))
+    return pages.aligned(asked, parsed)
+
+
 # ---------------------------------------------------------------- sources
 
 
-@query()
+@query("SELECT page_id AS feed_id, code, CASE WHEN page_id % 2 = 0 THEN DATE '2024-02-01' ELSE DATE '2023-03-05' END AS as_of, CAST(400 + page_id % 7 AS DOUBLE) AS raw, CAST(10 AS INTEGER) AS quant, round((400 + page_id % 7) / 10.0, 6)::DOUBLE AS per_unit FROM pages, (VALUES ('USD'), ('RUB')) AS c(code) WHERE code = 'USD' OR page_id % 2 = 0")
 def fx_xml(p: Proxies) -> DataFrame:
     item = lambda code, day: F.concat(F.lit(f"<item><title>{code}</title>{day}<description>"), F.format_string("%.2f", (F.lit(400.0) + F.col("page_id") % 7).cast("double")), F.lit("</description><quant>10</quant></item>"))
     rss = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel>'), item("USD", "<pubDate>01.02.2024</pubDate>"), item("RUB", "<pubDate>01.02.2024</pubDate>"), F.lit("</channel></rss>"))

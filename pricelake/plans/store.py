@@ -59,9 +59,11 @@ class PriceStore:
         out = overlay.with_edits(out, self._events("edits"), [f for f in EDITABLE if f in out.columns])
         return overlay.with_verifications(out, self._events("verifications"))
 
+    def all_documents(self) -> DataFrame:
+        return overlay.without_deleted(self.read("documents"), self._events("deleted_documents"), "doc_id")
+
     def documents(self, status: str = "", partner_id: str = "", limit: int = 500) -> DataFrame:
-        own = overlay.without_deleted(self.read("documents"), self._events("deleted_documents"), "doc_id")
-        return queries.page(queries.where_given(own, parse_status=status, partner_id=partner_id), [F.desc("parsed_at"), F.asc("doc_id")], limit, most=5000)
+        return queries.page(queries.where_given(self.all_documents(), parse_status=status, partner_id=partner_id), [F.desc("parsed_at"), F.asc("doc_id")], limit, most=5000)
 
     def partners(self, city: str = "", q: str = "", is_active: bool | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
         own = queries.where_flag(self.read("partners"), "is_active", is_active)
@@ -112,7 +114,7 @@ class PriceStore:
         return history.points(own, ["partner_id"], ["seq"]).orderBy("effective_date")
 
     def stats(self) -> DataFrame:
-        return statistics.overview(self.documents(limit=5000), self.read("partners"), self.read("services"), self.items())
+        return statistics.overview(self.all_documents(), self.read("partners"), self.read("services"), self.items())
 
     def rates(self) -> DataFrame:
         return self.read("rates").withColumn("per_unit", display_rate(F.col("per_unit")))

@@ -71,6 +71,8 @@ def read_docx(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
 
 
 READERS = {"xlsx": read_xlsx, "docx": read_docx}
+#: Formats that need a converter, which isn't here.
+UNREADABLE = ("doc", "xls")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -81,9 +83,11 @@ def lines(files: DataFrame) -> DataFrame:
         for frame in frames:
             for path, content, kind in zip(frame["path"], frame["content"], frame["file_format"], strict=True):
                 try:
+                    if kind in UNREADABLE:
+                        raise ValueError(f"a .{kind} file has to be converted to .{kind}x first")
                     found = [(path, sheet, k, cells, None) for sheet, k, cells in READERS[kind](content)]
                 except Exception as e:  # noqa: BLE001  whatever is wrong with one file
                     found = [(path, None, None, None, f"{type(e).__name__}: {e}"[:500])]
                 yield pd.DataFrame(found, columns=["doc_id", "sheet", "row_idx", "cells", "error"])
 
-    return files.where(files["file_format"].isin(*READERS)).select("path", "content", "file_format").mapInPandas(run, LINES)
+    return files.where(files["file_format"].isin(*READERS, *UNREADABLE)).select("path", "content", "file_format").mapInPandas(run, LINES)

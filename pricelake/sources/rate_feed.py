@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +36,20 @@ def rates(feeds: DataFrame) -> DataFrame:
     last = rows.groupBy("feed_id", "code").agg(F.max_by(F.struct("raw", "quant"), "place").alias("r"))
     per_unit = F.bround(F.col("r.raw") / F.greatest(F.lit(1), F.col("r.quant")), 6)
     return last.join(day, "feed_id").select("feed_id", feed_date(F.col("as_of_text")).alias("as_of"), "code", "r.raw", "r.quant", per_unit.alias("per_unit"))
+
+
+class FeedCache:
+    """Feeds that were fetched: one of a given day never changes, the latest is fetched anew once it is ``ttl`` seconds
+    old, or when asked. ``fetch`` takes the day, or None for the latest; what it raises is not kept."""
+
+    def __init__(self, fetch: Callable[[date | None], str], ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.fetch, self.ttl, self.clock = fetch, ttl, clock
+        self.kept: dict[date | None, tuple[float, str]] = {}
+
+    def get(self, day: date | None = None, refresh: bool = False) -> str:
+        at, feed = self.kept.get(day, (0.0, ""))
+        if day in self.kept and not refresh and (day is not None or self.clock() - at < self.ttl):
+            return feed
+        feed = self.fetch(day)
+        self.kept[day] = self.clock(), feed
+        return feed
