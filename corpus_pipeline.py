@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept; all but the last return the
 columns of ``documents``. A runner may write each stage's result and read it again; :func:`run` does so itself.
+
+Null and empty texts fail the quality rules' base, so only words reach the later stages; null labels and labels of unknown
+documents count for nothing; a null language is a stratum of its own; documents of any length are taken whole. Rows that repeat
+an id and a text are one document, which near duplicates keep or drop as a whole; another text under the same id is another
+document; ties go to the smaller id, null ids last. Without rows every stage returns none. Further columns, whatever their names,
+stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (word 5-grams, Jaccard 0.8) the document with the least id stays."""
+    """Of each group of near duplicates (word 5-grams, Jaccard 0.8) the document with the least id stays (see
+    :func:`pricelake.llm.ngram_join.one_of_each`)."""
     return ngram_join.one_of_each(docs, n=5, num=4, den=5)
 
 
@@ -41,7 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", passages), ("best-fit packing", packed)]
 
-#: Binomial bounds, a fitted discriminant and a tokenizer are beyond SQL; tests compare the stages with brute force.
+#: Binomial bounds, a fitted discriminant and a tokenizer are beyond SQL; tests compare near duplicates, passages, packing
+#: and the choice of rules with brute force, and check on odd rows what the stages keep together.
 ORACLE_SQL = None
 
 
