@@ -761,7 +761,10 @@ def stream_ingest(p: Proxies) -> DataFrame:
 
     from ..streaming.ingest import append_new, once
 
-    given = p.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    context = p.spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or ("/tmp/checkpoints" if context.master.startswith("local[") else None)
+    if not given:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"{given.rstrip('/')}/pricelake/stream-{uuid.uuid4().hex}"
     path = f"{p.sf_dir.rstrip('/')}/events.parquet"
     schema = p.table("events").schema
