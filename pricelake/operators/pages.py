@@ -3,7 +3,8 @@
 Pages with a text layer are read by columns where their priced rows show any, else line by line by the gaps between words;
 which price column is whose is learnt from the first page of a document whose header says so. Scanned pages are read line by
 line. Names that wrap over lines run on over page breaks, and a section holds until the next, so lines are put in order per
-document; nothing else needs more than one page at a time.
+document; nothing else needs more than one page at a time. What several steps read is persisted (memory and disk, recomputed
+where an executor is lost): words with their rows, words with their columns, and lines; ``spark.catalog.clearCache()`` frees it.
 """
 
 from __future__ import annotations
@@ -33,24 +34,24 @@ def _in_order(order: list[str], value: str) -> Column:
 def gap_lines(words: DataFrame, tolerance: float, floor: float = layout.GAP_FLOOR) -> tuple[DataFrame, DataFrame]:
     """(words with their row, lines (doc_id, page, row, gap_texts, data)): lines are cut where gaps are wide; ``data`` says
     that the last cell is a price."""
-    rows = layout.visual_rows(words, tolerance)
+    rows = layout.visual_rows(words, tolerance).persist()
     lines = layout.cells(rows, LINE, floor).groupBy(*LINE).agg(_in_order(["cell"], "text").alias("gap_texts"))
-    return rows, lines.withColumn("data", price_cell_value(F.element_at("gap_texts", -1)).isNotNull())
+    return rows, lines.withColumn("data", price_cell_value(F.element_at("gap_texts", -1)).isNotNull()).persist()
 
 
 def column_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, page, row, texts, price_cols, roles): columns of the pages whose priced rows show a grid with prices at the
     right; price_cols is null on lines of all other pages, whose texts are cut at gaps."""
-    marked = rows.join(lines.select(*LINE, "data"), LINE)
+    marked = rows.join(lines.select(*LINE, "data"), LINE).persist()
     priced = marked.where("data")
     heads = priced.groupBy(*PAGE).agg(F.min("top").alias("first_top"), F.count("*").alias("n")).where(F.col("n") >= LEAST_WORDS).drop("n")
     grids = layout.column_bounds(priced, TEXT_GAP).where(F.size("bounds") >= LEAST_BOUNDS).join(heads, PAGE)
     columns = F.size("bounds") - 1
     at = F.size(F.filter("bounds", lambda b: b <= (F.col("x0") + F.col("x1")) / 2)) - 1
-    placed = marked.join(grids, PAGE).withColumn("col", F.when((at >= 0) & (at < columns), at).otherwise(columns - 1))
+    placed = marked.join(grids, PAGE).withColumn("col", F.when((at >= 0) & (at < columns), at).otherwise(columns - 1)).persist()
     cells = placed.withColumn("line_top", F.bround("top", 1)).groupBy(*LINE, "col", "data", columns.alias("columns")).agg(F.array_join(_in_order(["line_top", "x0"], "text"), " ").alias("text"))
     whole = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit("")))
-    grid = cells.groupBy(*LINE, "data", "columns").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).withColumn("texts", whole)
+    grid = cells.groupBy(*LINE, "data", "columns").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).select(*LINE, "data", whole.alias("texts")).persist()
     found = layout.price_columns(grid.where("data").select(*PAGE, F.posexplode("texts").alias("col", "text")), PAGE)
     # What stands above the first priced row, by price column.
     labels = placed.where("top < first_top").groupBy(*PAGE, "col").agg(F.lower(F.array_join(_in_order(["top", "x0"], "text"), " ")).alias("label"))
@@ -121,7 +122,7 @@ def text_rows(words: DataFrame) -> DataFrame:
     where columns were found (``tariffs_resolved``), resident, nonresident and extra tiers. A page whose columns don't
     match the header page's keeps all its prices as extra tiers. Null texts are no words; an empty table gives none."""
     rows, gaps = gap_lines(words.where(F.col("text").isNotNull()), TEXT_TOLERANCE)
-    lines = column_lines(rows, gaps)
+    lines = column_lines(rows, gaps).persist()
     pattern = layout.document_pattern(lines.where("roles is not null").groupBy(*PAGE).agg(F.first("roles").alias("roles")))
     read = F.when(F.col("price_cols").isNotNull(), by_columns(F.col("texts"), F.col("price_cols"))).otherwise(by_gaps(F.col("texts")))
     found = assembled(lines.withColumn("read", read), layout.is_section).join(pattern, "doc_id", "left")
