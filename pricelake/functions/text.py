@@ -219,9 +219,10 @@ def ilike_any(c: Column, query: str) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key in which digit runs compare as numbers: each is padded to 12 places."""
+    """A sort key in which digit runs of any length compare as numbers: each, without its leading zeros, follows its length."""
     fenced = F.regexp_replace(F.coalesce(c, F.lit("")), r"(\d+)", f"{_MARK}$1{_MARK}")
-    return F.array_join(F.transform(F.split(fenced, _MARK), lambda p, i: F.when(i % 2 == 1, F.lpad(p, 12, "0")).otherwise(p)), "")
+    number = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))
+    return F.array_join(F.transform(F.split(fenced, _MARK), lambda p, i: F.when(i % 2 == 1, number(p)).otherwise(p)), "")
 
 
 def money_text(c: Column) -> Column:

@@ -125,9 +125,13 @@ def filter_includes_year(p: Proxies) -> DataFrame:
     return p.items.where(text.contains_folded(" RE ", F.col("name"), F.col("code"), F.col("section")) & (F.year("effective_date") == 1996)).select("item_id")
 
 
-@query(sql("SELECT code, name FROM (SELECT DISTINCT code, name FROM items WHERE partner_id = 3) ORDER BY lpad(code, 12, '0'), name LIMIT 25"))
+@query(sql("SELECT item_id, row_number() OVER (PARTITION BY partner_id ORDER BY CASE CAST(code AS BIGINT) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END, CAST(code AS BIGINT), l_linenumber, item_id) AS place FROM base"))
 def natural_sorted(p: Proxies) -> DataFrame:
-    return p.items.where("partner_id = 3").select("code", "name").distinct().orderBy(text.natural_key(F.col("code")), "name").limit(25)
+    """Every item's place in its partner's list by codes such as ``B1204.3``, whose numbers compare as numbers."""
+    letter = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("code").cast("long") % 3 + 1).cast("int"))
+    raw = F.concat(letter, "code", F.lit("."), F.col("l_linenumber").cast("string"))
+    place = F.row_number().over(Window.partitionBy("partner_id").orderBy("__key", "item_id"))
+    return p.base.withColumn("__key", text.natural_key(raw)).select("item_id", place.cast("long").alias("place"))
 
 
 # ---------------------------------------------------------------- history and versions
@@ -775,3 +779,192 @@ def stream_ingest(p: Proxies) -> DataFrame:
         keyed = stream.select(F.concat_ws("/", "user_id", F.to_date("ts"), "event_type").alias("key"), "user_id", F.to_date("ts").alias("day"), "event_type", "value", "event_id")
         once(keyed, f"{root}/checkpoint", append_new(f"{root}/store", "key", "event_id")).awaitTermination()
     return p.spark.read.parquet(f"{root}/store").select("user_id", "day", "event_type", "value", "event_id")
+
+
+# ---------------------------------------------------------------- rules, sinks and parts of pages, each over all rows
+
+
+def _nth(c: Column, *values: Column | str | None) -> Column:
+    """The value at the place that ``c`` gives, over and over."""
+    return F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+
+
+_NAMELESS = "CASE l_linenumber % 6 WHEN 0 THEN ' (?) ' WHEN 1 THEN '—' WHEN 2 THEN '' WHEN 3 THEN name WHEN 4 THEN NULL ELSE '- ' || name END"
+
+
+@query(sql(f"SELECT item_id, raw FROM (SELECT item_id, {_NAMELESS} AS raw FROM base) WHERE trim(coalesce(raw, '')) NOT IN ('', '(?)', '-', '—')"))
+def named_rows(p: Proxies) -> DataFrame:
+    """Rows whose name stands for one."""
+    raw = _nth(F.col("l_linenumber"), " (?) ", "—", "", F.col("name"), None, F.concat(F.lit("- "), "name"))
+    rows = p.base.select("item_id", raw.alias("raw"))
+    return rows.where(~quality.droppable_name(F.col("raw")))
+
+
+_HEADED = "CASE l_linenumber % 5 WHEN 0 THEN 'НАИМЕНОВАНИЕ ' || name WHEN 1 THEN name || ', цена для граждан' WHEN 2 THEN 'Единица  измерения' WHEN 3 THEN name || ' Единица измерения' ELSE name END"
+
+
+@query(sql(f"SELECT item_id, regexp_matches(lower({_HEADED}), 'наименование|цена для|цена с учетом|единица измер|прейскурант') AS header FROM base"))
+def header_rows(p: Proxies) -> DataFrame:
+    """Rows that look like a table's header: they stay, to be reviewed."""
+    name = F.col("name")
+    raw = _nth(F.col("l_linenumber"), F.concat(F.lit("НАИМЕНОВАНИЕ "), name), F.concat(name, F.lit(", цена для граждан")), "Единица  измерения", F.concat(name, F.lit(" Единица измерения")), name)
+    return p.base.select("item_id", quality.header_row(raw).alias("header"))
+
+
+@query(sql("SELECT item_id, CASE WHEN resident > 50000000 THEN 'implausibly large price (suspected OCR error)' END AS review_reason FROM (SELECT item_id, CAST(price_original * 1000 AS DOUBLE) AS resident FROM base)"))
+def implausible_prices(p: Proxies) -> DataFrame:
+    """The rule for prices that no step before has cleared."""
+    price = (F.col("price_original") * 1000).cast("double")
+    rows = p.base.select("item_id", price.alias("price_resident"), price.alias("price_nonresident"), F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("double").alias("prev_resident"))
+    return quality.validated(rows, AS_OF).select("item_id", "review_reason")
+
+
+@query("SELECT t AS table_name, count(*) FILTER (NOT EXISTS (SELECT 1 FROM information_schema.columns c WHERE c.table_name = t AND c.column_name = col)) AS missing FROM (VALUES ('part', 'p_partkey'), ('part', 'p_colour'), ('part', 'p_weight'), ('orders', 'o_orderkey'), ('nation', 'n_name'), ('nation', 'n_flag')) AS required(t, col) GROUP BY t")
+def required_columns(p: Proxies) -> DataFrame:
+    """How many of the columns that a reader needs a table doesn't have."""
+    required = {"part": ["p_partkey", "p_colour", "p_weight"], "orders": ["o_orderkey"], "nation": ["n_name", "n_flag"]}
+    return p.spark.createDataFrame([(t, len(quality.missing_columns(p.table(t), columns))) for t, columns in required.items()], "table_name string, missing long")
+
+
+@query(sql("SELECT 'hand-' || item_id AS item_id, b.doc_id, d.partner_id, name, TRUE AS needs_review, 'manually added' AS review_reason, TRUE AS is_active, FALSE AS is_verified, CAST(NULL AS VARCHAR) AS name_norm FROM base b JOIN docs d ON d.doc_id = b.doc_id WHERE l_linenumber = 6"))
+def manual_items(p: Proxies) -> DataFrame:
+    """Rows that parsing dropped, added again by hand."""
+    rows = p.base.where("l_linenumber = 6").select(F.concat(F.lit("hand-"), "item_id").alias("item_id"), "doc_id", "name")
+    return overlay.manual_items(rows, p.documents).select("item_id", "doc_id", "partner_id", "name", "needs_review", "review_reason", "is_active", "is_verified", "name_norm")
+
+
+@query("SELECT event_type || user_id % 50 AS code, arg_max(value, event_id) AS per_unit FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def last_good_rates(p: Proxies) -> DataFrame:
+    """The latest saved value of each code."""
+    saved = p.table("events").where("value is not null").select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("code"), F.col("value").alias("per_unit"), F.col("event_id").alias("saved_at"))
+    return overlay.last_good(saved)
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 16) || '__прайс ' || page_id || '.pdf' AS kept_as FROM pages")
+def archived_names(p: Proxies) -> DataFrame:
+    """What originals are kept as, whatever folder they came from."""
+    path = F.concat(_nth(F.col("page_id"), "/in/a.b/прайс ", "прайс ", "../../прайс "), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return p.table("pages").select("page_id", overlay.archived_name(F.sha2("url", 256), path).alias("kept_as"))
+
+
+@query(sql("SELECT item_id, round_even(CAST(code AS BIGINT) % 4096 / 32.0, 4) AS shown FROM base"))
+def display_rates(p: Proxies) -> DataFrame:
+    """Four decimals, ties to the even one."""
+    return p.base.select("item_id", rates.display_rate((F.col("code").cast("long") % 4096) / F.lit(32.0)).alias("shown"))
+
+
+@query(sql("SELECT item_id, strftime(effective_date, '%d.%m.%Y') AS asked FROM base"))
+def feed_dates(p: Proxies) -> DataFrame:
+    """Days as the rate feed wants them."""
+    return p.base.select("item_id", dates.feed_text(F.col("effective_date")).alias("asked"))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN page_id * 1000 + 7 WHEN 1 THEN -page_id END AS value FROM pages")
+def whole_numbers(p: Proxies) -> DataFrame:
+    """Digits with spaces between them, a sign, and what is no integer."""
+    i = F.col("page_id").cast("string")
+    raw = _nth(F.col("page_id"), F.concat(F.lit(" "), i, F.lit(" 007 ")), F.concat(F.lit("-"), i), F.concat(i, F.lit("a")), "", None)
+    return p.table("pages").select("page_id", numbers.whole_number(raw).alias("value"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(md5(url), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') WHEN 1 THEN md5(url) END AS id FROM pages")
+def identifiers(p: Proxies) -> DataFrame:
+    """Identifiers with and without dashes, in capitals, with a digit too few, and other texts."""
+    plain = F.md5("url")
+    dashed = F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    raw = _nth(F.col("page_id"), F.concat(F.lit(" "), F.upper(dashed), F.lit("\n")), plain, F.substring(plain, 1, 31), F.col("url"))
+    return p.table("pages").select("page_id", text.valid_uuid(raw).alias("id"))
+
+
+_LISTED = "listed AS (SELECT partner_id, code, section, k // 40 + 1 AS page FROM (SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY seq) AS k FROM converted) WHERE k // 40 % 5 <> 3)"
+
+
+@query(
+    sql(
+        "SELECT partner_id, count(*) AS rows, count(code) - count(DISTINCT code) AS duplicate_codes, count(DISTINCT section) AS sections, array_to_string(list_filter(range(min(page), max(page) + 1), lambda x: NOT list_contains(any_value(seen), x)), ',') AS missing_pages FROM listed JOIN pages_seen USING (partner_id) GROUP BY partner_id",
+        _LISTED,
+        "pages_seen AS (SELECT partner_id, list(DISTINCT page) AS seen FROM listed GROUP BY partner_id)",
+    )
+)
+def list_gaps(p: Proxies) -> DataFrame:
+    """Lists of 40 rows a page that lost each fifth page: repeated codes, sections, missing pages."""
+    k = F.row_number().over(Window.partitionBy("partner_id").orderBy("seq"))
+    rows = p.base.select("partner_id", "code", "section", F.floor(k / 40).alias("sheet")).where("sheet % 5 <> 3").withColumn("page", F.col("sheet") + 1)
+    found = statistics.list_gaps(rows, ["partner_id"])
+    return found.withColumn("missing_pages", F.array_join(F.array_sort("missing_pages").cast("array<string>"), ","))
+
+
+_CELLS = "cells AS (SELECT partner_id, unnest([0, 1, 2, 3, 4, 5]) AS col, unnest([name, code, CASE WHEN partner_id % 3 = 0 THEN name ELSE code END, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE code END, CASE WHEN l_linenumber < 4 THEN name ELSE code END, CASE WHEN partner_id % 2 = 0 THEN 'шт' ELSE code END]) AS text FROM base)"
+
+
+@query(
+    sql(
+        "SELECT partner_id, string_agg(g.col, ',' ORDER BY g.col) AS price_cols FROM good g WHERE dense AND NOT EXISTS (SELECT 1 FROM good a JOIN good b ON b.partner_id = a.partner_id AND b.dense AND b.col > a.col WHERE a.partner_id = g.partner_id AND NOT a.dense AND a.col > g.col) GROUP BY partner_id",
+        _CELLS,
+        "good AS (SELECT partner_id, col, coalesce(avg(CASE WHEN text <> '' THEN CAST(regexp_full_match(text, '[0-9]+') AND TRY_CAST(text AS BIGINT) > 0 AS INTEGER) END), 0) >= 0.6 AS dense FROM cells GROUP BY partner_id, col)",
+    )
+)
+def price_columns(p: Proxies) -> DataFrame:
+    """The rightmost run of columns of numbers, in lists with empty, mixed and broken ones."""
+    line, name, code = F.col("l_linenumber"), F.col("name"), F.col("code")
+    texts = F.array(name, code, F.when(F.col("partner_id") % 3 == 0, name).otherwise(code), F.when(line % 2 == 0, "").otherwise(code), F.when(line < 4, name).otherwise(code), F.when(F.col("partner_id") % 2 == 0, "шт").otherwise(code))
+    found = layout.price_columns(p.base.select("partner_id", F.posexplode(texts).alias("col", "text")), ["partner_id"])
+    return found.select("partner_id", F.array_join(F.col("price_cols").cast("array<string>"), ",").alias("price_cols"))
+
+
+_LABELS = ["Цена для ", "ГРАЖДАН республики ", "Иностранцы: ", "без гражданства, ", "Постоянно проживающие ", "кандасы и ", "из стран зарубежья ", "НЕ проживающие "]
+_LABEL = f"list_extract([{', '.join(repr(x) for x in _LABELS)}], CAST(CAST(code AS BIGINT) % 8 + 1 AS INTEGER)) || CASE l_linenumber WHEN 1 THEN 'Нерезидентов' WHEN 2 THEN 'РЕЗИДЕНТОВ' ELSE name END"
+
+
+@query(sql("SELECT item_id, CASE WHEN label LIKE '%нерезидент%' THEN 'F' WHEN label LIKE '%резидент%' THEN 'R' WHEN regexp_matches(label, 'иностран|без граждан') THEN 'F' WHEN regexp_matches(label, 'граждан республики|постоянно прожива|кандас|оралман') THEN 'R' WHEN regexp_matches(label, 'зарубеж|не прожива') THEN 'F' ELSE 'U' END AS role FROM labelled", f"labelled AS (SELECT item_id, lower({_LABEL}) AS label FROM base)"))
+def label_roles(p: Proxies) -> DataFrame:
+    """Whose price a column's header announces."""
+    label = F.concat(_nth(F.col("code").cast("long"), *_LABELS), F.when(F.col("l_linenumber") == 1, "Нерезидентов").when(F.col("l_linenumber") == 2, "РЕЗИДЕНТОВ").otherwise(F.col("name")))
+    return p.base.select("item_id", layout.label_role(label).alias("role"))
+
+
+_ROLES = "roles AS (SELECT item_id, list_transform(range(1 + CAST(l_linenumber % 3 AS BIGINT)), lambda i: substr('FRU', 1 + CAST((CAST(code AS BIGINT) // CAST(3 ** i AS BIGINT)) % 3 AS INTEGER), 1)) AS r FROM base), placed AS (SELECT *, CASE WHEN len(r) = 1 THEN CASE WHEN r[1] <> 'F' THEN 1 END ELSE coalesce(nullif(list_position(r, 'R'), 0), nullif(list_position(r, 'U'), 0)) END AS own FROM roles), paired AS (SELECT *, CASE WHEN own IS NULL THEN 1 WHEN own < len(r) THEN own + 1 WHEN own > 1 THEN own - 1 END AS other FROM placed)"
+
+
+@query(sql("SELECT item_id, array_to_string(list_transform(r, lambda x, i: CASE WHEN i IS NOT DISTINCT FROM own THEN 'resident' WHEN i IS NOT DISTINCT FROM other THEN 'nonresident' ELSE 'extra' END), ',') AS pattern, list_contains(r, 'R') OR (len(r) = 1 AND r[1] = 'F') AS confident FROM paired", _ROLES))
+def tier_patterns(p: Proxies) -> DataFrame:
+    """Which of one to three price columns are the resident's and the nonresident's, for all roles they may have."""
+    code = F.col("code").cast("long")
+    letter = lambda i: F.substring(F.lit("FRU"), (F.floor(code / F.pow(F.lit(3), i)) % 3 + 1).cast("int"), F.lit(1))
+    roles = F.transform(F.sequence(F.lit(0), (F.col("l_linenumber") % 3).cast("int")), letter)
+    return p.base.select("item_id", roles.alias("r")).select("item_id", F.array_join(layout.tier_pattern(F.col("r")), ",").alias("pattern"), layout.is_confident(F.col("r")).alias("confident"))
+
+
+@query(sql("SELECT item_id, CASE WHEN near THEN a * 1000 + b || '.0|' || c || '.0' ELSE a || '.0|' || b || '.0|' || c || '.0' END AS prices FROM (SELECT item_id, CAST(code AS BIGINT) % 130 AS a, 100 + partner_id % 900 AS b, 1000 + l_linenumber AS c, CAST(code AS BIGINT) % 130 < 100 AND l_linenumber % 2 = 1 AS near FROM base)"))
+def split_thousands(p: Proxies) -> DataFrame:
+    """Numbers that a column's edge cut at their thousands become whole; others stay."""
+    cells = F.array(F.col("code").cast("long") % 130, 100 + F.col("partner_id") % 900, 1000 + F.col("l_linenumber").cast("long"))
+    columns = F.when(F.col("l_linenumber") % 2 == 1, F.array(F.lit(3), F.lit(4), F.lit(5))).otherwise(F.array(F.lit(2), F.lit(4), F.lit(5)))
+    joined = layout.join_thousands(cells.cast("array<double>"), columns, cells.cast("array<string>"))
+    return p.base.select("item_id", F.array_join(F.transform(joined, lambda x: x["price"].cast("string")), "|").alias("prices"))
+
+
+_TITLES = "titles AS (SELECT item_id, CASE CAST(code AS BIGINT) % 8 WHEN 0 THEN 'Раздел ' || name WHEN 1 THEN upper(name) WHEN 2 THEN l_linenumber || '. Услуги ' || name WHEN 3 THEN l_linenumber || ') ' || name WHEN 4 THEN upper(name) || ' цена' WHEN 5 THEN 'Разделка ' || name WHEN 6 THEN repeat(upper(name) || ' ', 6) ELSE 'УЗИ' || CASE WHEN l_linenumber % 2 = 0 THEN 'Я' ELSE '' END END AS t FROM base), lettered AS (SELECT *, regexp_replace(t, '[^\\p{L}]', '', 'g') AS l, regexp_replace(t, '[^\\p{Lu}]', '', 'g') AS u, trim(regexp_extract(t, '^[\\s*.+•·]*\\d{1,3}[.)\\s]+(\\p{L}.*)$', 1)) AS body, regexp_matches(t, '(?i)^(раздел|блок|подраздел|глава|часть|приложение|прейскурант)([^\\p{L}\\p{N}_]|$)') AS worded FROM titles)"
+
+
+@query(sql("SELECT item_id, length(t) <= 80 AND NOT regexp_matches(lower(t), 'ндс|тенге|цена|наимен|единиц|руб|зарубежь') AND (worded OR (length(l) >= 5 AND length(u) / length(l) >= 0.75) OR (body <> '' AND NOT regexp_matches(body, '^\\p{Ll}') AND NOT ends_with(body, ',') AND len(regexp_split_to_array(body, '\\s+')) <= 6)) AS of_text, worded OR (length(l) >= 4 AND length(u) / length(l) >= 0.75) AS of_scan FROM lettered", _TITLES))
+def section_titles(p: Proxies) -> DataFrame:
+    """Titles of sections by word, capitals or number, in texts and in scans, where the test is looser."""
+    name, line = F.col("name"), F.col("l_linenumber").cast("string")
+    shout = F.upper(name)
+    t = _nth(F.col("code").cast("long"), F.concat(F.lit("Раздел "), name), shout, F.concat(line, F.lit(". Услуги "), name), F.concat(line, F.lit(") "), name), F.concat(shout, F.lit(" цена")), F.concat(F.lit("Разделка "), name), F.repeat(F.concat(shout, F.lit(" ")), 6), F.concat(F.lit("УЗИ"), F.when(F.col("l_linenumber") % 2 == 0, "Я").otherwise("")))
+    return p.base.select("item_id", t.alias("t")).select("item_id", layout.is_section(F.col("t")).alias("of_text"), layout.is_section_of_scan(F.col("t")).alias("of_scan"))
+
+
+@query(sql("SELECT item_id FROM base WHERE NOT (greatest(partner_id % 200, l_linenumber * 20) < 100 AND length(repeat(name || ' ', CAST(l_linenumber AS BIGINT))) > 120)"))
+def band_artifacts(p: Proxies) -> DataFrame:
+    """Rows without bands of lines that ran together before a stray number."""
+    prices = F.array((F.col("partner_id") % 200).cast("double"), (F.col("l_linenumber") * 20).cast("double"))
+    rows = p.base.select("item_id", prices.alias("prices"), F.repeat(F.concat("name", F.lit(" ")), F.col("l_linenumber")).alias("long_name"))
+    return rows.where(~layout.is_band_artifact(F.col("prices"), F.col("long_name"))).select("item_id")
+
+
+@query(sql("SELECT doc_id, partner_id, parse_status, CAST(effective_date AS TIMESTAMP) AS parsed_at FROM docs ORDER BY effective_date DESC, doc_id LIMIT 500"))
+def recent_documents(p: Proxies) -> DataFrame:
+    """A page of documents, the latest first."""
+    return queries.page(p.documents, [F.desc("parsed_at"), F.asc("doc_id")], 500, most=5000).select("doc_id", "partner_id", "parse_status", "parsed_at")

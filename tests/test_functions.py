@@ -46,6 +46,14 @@ def test_prices(spark):
     assert values(spark, numbers.is_number_cell, list(whether)) == list(whether.values())
 
 
+def test_natural_order(spark):
+    names = ["10", "9", "a2", "a10", "a02b", "1" + "0" * 20, "9" * 20, "0" * 30 + "3", "", None]
+    keys = values(spark, text.natural_key, names)
+    number = lambda s: sorted(s, key=lambda x: keys[names.index(x)])
+    assert number(["10", "9", "1" + "0" * 20, "9" * 20, "0" * 30 + "3"]) == ["0" * 30 + "3", "9", "10", "9" * 20, "1" + "0" * 20]
+    assert number(["a10", "a02b", "a2"]) == ["a2", "a02b", "a10"] and keys[-1] == keys[-2] == ""
+
+
 def test_dates(spark):
     cases = {"31.02.2024": None, "29.02.2024": "2024-02-29", "1.1.2024": None, None: None}
     assert [d and str(d) for d in values(spark, dates.feed_date, list(cases))] == list(cases.values())
