@@ -968,3 +968,21 @@ def band_artifacts(p: Proxies) -> DataFrame:
 def recent_documents(p: Proxies) -> DataFrame:
     """A page of documents, the latest first."""
     return queries.page(p.documents, [F.desc("parsed_at"), F.asc("doc_id")], 500, most=5000).select("doc_id", "partner_id", "parse_status", "parsed_at")
+
+
+@query(
+    sql(
+        "SELECT item_id, CASE WHEN done OR k IN (0, 3) THEN r WHEN k = 1 THEN r ELSE n END AS resident, CASE WHEN done THEN n WHEN k = 0 THEN n WHEN k = 1 THEN r + n WHEN k = 2 THEN r END AS nonresident, CASE WHEN done AND k = 2 THEN 'VIP=' || format('{:.2f}', r) WHEN NOT done AND k = 1 THEN 'иностранцы=' || format('{:.2f}', n) WHEN NOT done AND k = 2 THEN 'tier_3=' || format('{:.2f}', r + 1) || ',tier_4=' || format('{:.2f}', n + 2) END AS extra FROM served",
+        "served AS (SELECT item_id, CAST(price_original AS DOUBLE) AS r, CAST(nonresident_original AS DOUBLE) AS n, l_linenumber % 4 AS k, partner_id % 2 = 0 AS done FROM base)",
+    )
+)
+def serialised_rows(p: Proxies) -> DataFrame:
+    """What an extraction hands on: resolved tiers as they are, others mapped by three labels or by position."""
+    r, n, k = F.col("r"), F.col("n"), F.col("l_linenumber") % 4
+    prices = F.when(k == 0, F.array(r, n)).when(k == 1, F.array(n, r, r + n)).when(k == 2, F.array(n, r, r + 1, n + 2)).otherwise(F.array(r))
+    rows = p.base.withColumns({"r": F.col("price_original").cast("double"), "n": F.col("nonresident_original").cast("double"), "tariffs_resolved": F.col("partner_id") % 2 == 0})
+    extra = F.when(k == 2, F.create_map(F.lit("VIP"), r))
+    served = rows.select(F.col("item_id").alias("doc_id"), "name", "code", "unit", "section", "currency", prices.alias("prices"), r.alias("resident"), n.alias("nonresident"), extra.alias("extra_tiers"), "tariffs_resolved")
+    found = pages.serialised(served, F.array(F.lit(" иностранцы "), F.lit("граждан республики"), F.lit("СНГ")))
+    tiers = F.array_join(F.transform(F.map_entries("price_extra_tiers"), lambda e: F.format_string("%s=%.2f", e["key"], e["value"])), ",")
+    return found.select(F.col("doc_id").alias("item_id"), F.col("price_resident").alias("resident"), F.col("price_nonresident").alias("nonresident"), tiers.alias("extra"))
