@@ -23,12 +23,14 @@ def fold(items: DataFrame, by: list[str], order: list[str], date: str = "effecti
     The walk is windows only: rows are cut into segments at undated rows; a row is accepted if it is undated or no
     earlier accepted row of its segment is newer, which a running maximum of all dates of the segment tells."""
     own = Window.partitionBy(*by).orderBy(*order)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
     d = F.col(date)
     step = items.withColumn("__segment", F.sum(d.isNull().cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(*by, "__segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(d).over(inside)
     step = step.withColumn("__accepted", d.isNull() | newest.isNull() | (d >= newest))
+    # Segments follow each other in the same order, so that rows needn't be sorted anew.
+    own = Window.partitionBy(*by).orderBy("__segment", *order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
     previous = F.last(F.when(F.col("__accepted"), F.struct(d.alias("d"), F.col(price).alias("p"))), ignorenulls=True).over(before)
     step = step.withColumn("__prev", previous)
     later = F.max(F.col("__accepted").cast("int")).over(own.rowsBetween(1, Window.unboundedFollowing))

@@ -158,6 +158,30 @@ def test_golden_alignment():
     assert golden.align([("a", 1.0), ("b", 2.0), ("a", 3.0)], [("a", [9.0]), ("x", [2.3]), ("y", [3.0])]) == [0, 1, 2]
 
 
+def test_golden_comparison_equals_all_pairs_without_making_them(spark):
+    rnd = random.Random(5)
+    pick = lambda *x: rnd.choice(x)
+    price = lambda: pick(None, 1.0, 2.0, 2.25, 3.0, 7.5)
+    asked = [(i, pick(None, "a", "b", "c", "d"), pick(None, "", "x", "y", "z"), price(), pick(None, 5.0), pick("KZT", "RUB")) for i in range(150)]
+    parsed = [(f"r{i:02}", pick(None, "a", "a", "b"), pick(None, "", "x", "y"), price(), pick(None, 5.0, 6.0), pick("KZT", "RUB"), pick(None, {"t": 5.25}), pick(None, True, False)) for i in range(12)]
+    expected = {}
+    for i, key, code, resident, foreign, currency in asked:
+        found = [p for p in parsed if key is not None and p[1] == key] or [p for p in parsed if code and p[2] == code]
+        far = lambda p, r=resident: 1e18 if p[3] is None or r is None else abs(p[3] - r)
+        best = min(found, key=lambda p, c=code: (c is None or p[2] != c, far(p), p[0]), default=None)
+        if best is None:
+            expected[i] = ("missing", False)
+            continue
+        near = best[3] is None if resident is None else best[3] is not None and abs(best[3] - resident) <= 0.5
+        held = foreign is None or any(abs(x - foreign) <= 0.5 for x in [*(best[6] or {}).values(), best[4]] if x is not None)
+        expected[i] = ("wrong_currency" if currency != best[5] else "wrong_resident" if not near else "ok" if held else "wrong_foreign", bool(best[7]))
+    golden_rows = spark.createDataFrame(asked, "golden_id int, key string, code_key string, resident double, nonresident double, currency string")
+    parsed_rows = spark.createDataFrame(parsed, "row_id string, key string, code_key string, resident double, nonresident double, currency string, tiers map<string,double>, needs_review boolean")
+    got = golden.compare(golden_rows, parsed_rows)
+    assert {r["golden_id"]: (r["verdict"], r["flagged"]) for r in got.collect()} == expected
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy_compares_all_at_every_size(spark, monkeypatch):
     import random
 
