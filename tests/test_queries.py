@@ -38,3 +38,14 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_golden_rows_without_a_name_are_missing(spark, duck, tmp_path):
+    """As in SQL, where a null name is no key."""
+    duck.sql(f"copy (select * replace (case when p_partkey % 3 = 0 then null else p_name end as p_name) from '{SF}/part.parquet') to '{tmp_path}/part.parquet' (format parquet)")
+    os.symlink(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = QUERIES["accuracy_summary"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.select("total", "correct", "flagged_wrong", "silent", "accuracy", "effective", "passed").collect()] == con.sql(ORACLES["accuracy_summary"]).fetchall()
