@@ -63,7 +63,8 @@ def price_cell_value(text: Column) -> Column:
     glyphs = LOOKALIKE_GLYPHS.replace("|", r"\|")
     of_digits = lambda bare: bare.rlike(r"(?U)\S") & ~bare.rlike(rf"(?U)[^\s0-9.,{glyphs}]")
     value = let(_bare(text), lambda bare: F.when(of_digits(bare), let(_parsed(bare, True)["value"], lambda value: F.when(value > 0, value))))
-    return F.when(~text.rlike(_FOREIGN), value)
+    plain = text.try_cast("double")  # most prices are
+    return F.when(text.rlike(r"^[0-9]{1,12}(?:\.[0-9]{1,2})?\z"), F.when(plain > 0, plain)).when(~text.rlike(_FOREIGN), value)
 
 
 def is_number_cell(text: Column) -> Column:

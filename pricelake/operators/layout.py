@@ -164,7 +164,9 @@ def looks_like_unit(text: Column) -> Column:
     def vocabulary(words):
         return F.exists(words, lambda w: F.array_contains(units, w)) & F.forall(words, lambda w: F.array_contains(units, w) | F.array_contains(links, w))
 
-    return let(F.lower(strip(F.coalesce(text, F.lit("")))), judge)
+    # All words of units are Cyrillic, and counts have digits: other texts need no closer look.
+    may = text.rlike("(?iu)[а-яё0-9]")
+    return F.when(F.coalesce(may, F.lit(False)), let(F.lower(strip(text)), judge)).otherwise(False)
 
 
 def is_section(text: Column) -> Column:
@@ -218,7 +220,9 @@ def code_and_name(text: Column) -> Column:
         others = F.filter(rest, lambda t, i: at.isNull() | ((i != at) & ~(prefixed & (i == at - 1))))
         return F.struct(F.when(leading, head).otherwise(found).alias("code"), F.array_join(others, " ").alias("name"))
 
-    return let(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), look)
+    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    # Codes and row numbers have digits.
+    return F.when(~text.rlike("[0-9]"), F.struct(F.lit(None).cast("string").alias("code"), F.array_join(tokens, " ").alias("name"))).otherwise(let(tokens, look))
 
 
 def is_band_artifact(prices: Column, name: Column) -> Column:

@@ -680,20 +680,30 @@ def layout_rows(p: Proxies) -> DataFrame:
     return coded.select("item_id", "unit", F.get("prices", F.lit(0)).alias("price"), "c.code", "c.name")
 
 
-def _page_words(p: Proxies) -> DataFrame:
+def _pages(p: Proxies) -> DataFrame:
     """A document per partner, 40 lines a page: every 20th line is a section, every 10th wraps into the next one, and the
     first page has a header over its two price columns, the resident's second."""
-    k = F.row_number().over(Window.partitionBy("partner_id").orderBy("seq"))
-    box = lambda x, width, text: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), text.alias("text"))
-    before = [box(10 + 30 * i, 28, F.lit(w)) for i, w in enumerate(("услуга", "врача", "по", "записи", "номер"))]
-    named = F.array(*before, box(160, 28, F.col("name")))
-    priced = F.concat(named, F.array(box(400, 40, F.col("nonresident_original").cast("string")), box(500, 40, F.col("price_original").cast("string"))))
-    title = F.array(box(10, 28, F.lit("РАЗДЕЛ")), box(40, 28, F.floor(F.col("k") / 20).cast("string")))
-    boxes = F.when(F.col("k") % 20 == 0, title).when(F.col("k") % 10 == 5, named).otherwise(priced)
-    lines = p.base.withColumn("k", k).select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), (F.floor((F.col("k") - 1) / 40) + 1).cast("int").alias("page"), ((F.col("k") - 1) % 40 * 20.0 + 60).alias("top"), F.explode(boxes).alias("b"))
-    head = F.explode(F.array(box(400, 40, F.lit("Нерезиденты")), box(500, 40, F.lit("Резиденты"))))
-    heads = lines.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page"), F.lit(20.0).alias("top"), head.alias("b"))
-    return lines.unionByName(heads).select("doc_id", "page", F.lit(600.0).alias("page_width"), "top", "b.*")
+    rows = p.base.select("partner_id", "l_orderkey", "l_partkey", "effective_date", "price_original", "nonresident_original", "l_linenumber", "name")
+    rows = rows.repartition("partner_id").withColumn("code", F.col("l_partkey").cast("string")).withColumn("seq", item_id()).withColumn("k", F.row_number().over(Window.partitionBy("partner_id").orderBy("seq")))
+    box = lambda x, width, top, text: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), top.alias("top"), text.alias("text"))
+
+    def boxes(line):
+        k, top = line["k"], (line["k"] - 1) % 40 * 20.0 + 60
+        before = [box(10 + 30 * i, 28, top, F.lit(w)) for i, w in enumerate(("услуга", "врача", "по", "записи", "номер"))]
+        named = [*before, box(160, 28, top, line["name"])]
+        priced = [box(400, 40, top, line["nonresident_original"].cast("string")), box(500, 40, top, line["price_original"].cast("string"))]
+        title = F.array(box(10, 28, top, F.lit("РАЗДЕЛ")), box(40, 28, top, F.floor(k / 20).cast("string")))
+        return F.when(k % 20 == 0, title).when(k % 10 == 5, F.array(*named)).otherwise(F.array(*named, *priced))
+
+    head = F.array(box(400, 40, F.lit(20.0), F.lit("Нерезиденты")), box(500, 40, F.lit(20.0), F.lit("Резиденты")))
+    page = (F.floor((F.col("k") - 1) / 40) + 1).cast("int").alias("page")
+    found = rows.groupBy("partner_id", page).agg(F.collect_list(F.struct("k", "name", "price_original", "nonresident_original")).alias("lines"))
+    words = F.flatten(F.transform("lines", boxes))
+    return found.select(F.concat(F.lit("d"), F.col("partner_id")).alias("doc_id"), "page", F.lit(600.0).alias("page_width"), F.when(F.col("page") == 1, F.concat(head, words)).otherwise(words).alias("words"))
+
+
+def _page_words(p: Proxies) -> DataFrame:
+    return _pages(p).select("doc_id", "page", "page_width", F.inline("words"))
 
 
 _LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY item_id) AS k FROM base), read AS (SELECT *, 'd' || partner_id AS doc, CAST((k - 1) // 40 + 1 AS INTEGER) AS page, 'услуга врача по записи номер ' || name AS own, lag('услуга врача по записи номер ' || name || ' ') OVER (PARTITION BY partner_id ORDER BY k) AS upper FROM lines)"
@@ -703,7 +713,7 @@ _NAMED = "CASE WHEN k % 10 = 6 THEN upper ELSE '' END || own"
 @query(sql(f"SELECT doc AS doc_id, page, {_NAMED} AS name, CASE WHEN k > 20 THEN 'РАЗДЕЛ ' || k // 20 END AS section, CAST(price_original AS DOUBLE) AS resident, CAST(nonresident_original AS DOUBLE) AS nonresident, TRUE AS tariffs_resolved FROM read WHERE k % 20 <> 0 AND k % 10 <> 5", _LINES))
 def text_page_rows(p: Proxies) -> DataFrame:
     """Price rows of pages with a text layer: columns, wrapped names, sections, tiers learnt from the first page."""
-    return pages.text_rows(_page_words(p)).select("doc_id", "page", "name", "section", "resident", "nonresident", "tariffs_resolved")
+    return pages.text_rows_of(_pages(p)).select("doc_id", "page", "name", "section", "resident", "nonresident", "tariffs_resolved")
 
 
 @query(sql(f"SELECT doc AS doc_id, page, {_NAMED} AS name, CASE WHEN k // 20 * 20 > (page - 1) * 40 THEN 'РАЗДЕЛ ' || k // 20 END AS section, CAST(nonresident_original AS DOUBLE) AS first_price, CAST(price_original AS DOUBLE) AS second_price FROM read WHERE k % 20 <> 0 AND k % 10 <> 5", _LINES))

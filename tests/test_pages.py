@@ -140,3 +140,19 @@ def test_related_counts(spark):
 
 def test_formats_of_members(spark):
     assert [r[0] for r in spark.createDataFrame([("a.DOCX",), ("b.doc",)], "p string").select(formats.file_format(F.col("p"))).collect()] == ["docx", None]
+
+
+def test_pages_as_arrays_equal_lines_word_by_word(spark):
+    import random
+
+    rnd = random.Random(8)
+    data = [("d", k // 60, 200.0, float(x := rnd.choice([0, 10, 10.5, 30, 60, 61, 120, 150])), x + rnd.choice([4.0, 9.0, 20.0]), rnd.choice([10.0, 10.04, 13.0, 14.2, 16.15, 18.5, 40.0, 60.0, 64.0]), rnd.choice(["a", "b", "č", "12", "7.5"])) for k in range(1800)]
+    words = spark.createDataFrame(data, WORDS)
+    rows = pages.layout.visual_rows(words, pages.TEXT_TOLERANCE)
+    expected = {}
+    for r in pages.layout.cells(rows, pages.LINE).orderBy(*pages.LINE, "cell").collect():
+        expected.setdefault((r["page"], r["row"]), []).append(r["text"])
+    lines = pages.gap_pages(pages.paged(words), pages.TEXT_TOLERANCE)
+    assert {(r["page"], i): t for r in lines.collect() for i, t in enumerate(r["gap_texts"])} == expected
+    plan = pages.text_rows(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan and "Pandas" not in plan
