@@ -84,6 +84,24 @@ def _found(golden: Column, p: Column, tolerance: float) -> Column:
     return F.when(p.isNotNull(), F.struct(verdict.alias("verdict"), F.coalesce(p["needs_review"], F.lit(False)).alias("flagged")))
 
 
+def nearest(rows: DataFrame, by: list[str], price: str, parsed: str, order: list[str], what: str) -> DataFrame:
+    """Adds ``near_<price>`` and ``near_<what>`` of the parsed row of the nearest price in hundredths, of the least
+    ``order``, to the rows that are not parsed; null if there is none. All are longs."""
+    # Parsed rows of a price come first, the least of them before all: it stands for the price.
+    walk = Window.partitionBy(*by).orderBy(price, F.desc(parsed), *order)
+    columns = [price, what, *order]
+    first = F.col(parsed) & ~F.col(price).eqNullSafe(F.col("__last"))
+    rows = rows.withColumn("__last", F.lag(price).over(walk)).withColumns({f"__{c}": F.when(first, F.col(c)) for c in columns})
+    behind = f"PARTITION BY {', '.join(by)} ORDER BY {price}, {parsed} DESC, {', '.join(order)}"
+    rows = rows.withColumns({f"__below_{c}": F.last(f"__{c}", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0)) for c in columns} | {f"__above_{c}": F.expr(f"lead(__{c}) IGNORE NULLS OVER ({behind})") for c in columns})
+    own, below, above = (F.col(c) / 100.0 for c in (price, f"__below_{price}", f"__above_{price}"))
+    earlier = F.struct(*[f"__below_{c}" for c in order]) < F.struct(*[f"__above_{c}" for c in order])
+    lower = above.isNull() | (own - below < above - own) | ((own - below == above - own) & earlier)
+    rows = rows.withColumn("__lower", below.isNotNull() & lower)
+    near = {f"near_{c}": F.when(~F.col(parsed), F.when(F.col("__lower"), F.col(f"__below_{c}")).otherwise(F.col(f"__above_{c}"))) for c in (price, what)}
+    return rows.withColumns(near).drop("__last", "__lower", *[f"__{k}{c}" for c in columns for k in ("", "below_", "above_")])
+
+
 def accuracy(verdicts: DataFrame, least: float = 0.95) -> DataFrame:
     """One row: total, correct, accuracy, effective (wrong but flagged counts), silent errors, and the gate."""
     ok, found = F.col("verdict") == "ok", F.col("verdict") != "missing"

@@ -42,6 +42,18 @@ def fold(items: DataFrame, by: list[str], order: list[str], date: str = "effecti
     )
 
 
+def newest(items: DataFrame, by: list[str], order: list[str], at: str, price: str, day: int) -> DataFrame:
+    """The active rows that :func:`fold` tells, with ``prev_resident``, if all rows are dated: the newest one, of the
+    newest the last in the order. ``at``: a long of the row's date, from its bit ``day`` on, and its first column of order.
+    One window."""
+    own = Window.partitionBy(*by).orderBy(*order)
+    whole, before = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), own.rowsBetween(Window.unboundedPreceding, -1)
+    step = items.withColumns({"__newest": F.max(at).over(whole), "__next": F.lead(at).over(own), "__at": F.max(at).over(before), "__price": F.max_by(price, at).over(before)})
+    other_day = F.shiftright("__at", day) != F.shiftright(at, day)
+    step = step.where((F.col(at) == F.col("__newest")) & ~F.col(at).eqNullSafe(F.col("__next")))
+    return step.withColumn("prev_resident", F.when(other_day, F.col("__price"))).drop("__newest", "__next", "__at", "__price")
+
+
 def change_percent(now: Column, previous: Column) -> Column:
     """Absolute change in percent of the previous price; null where either is null or zero."""
     return F.abs(F.nullif(now, F.lit(0)) - F.nullif(previous, F.lit(0))) / F.nullif(previous, F.lit(0)) * 100
