@@ -31,8 +31,12 @@ def item_id() -> Column:
 class Proxies:
     spark: SparkSession
     sf_dir: str
+    #: In place of all line items.
+    lines: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
+        if name == "lineitem" and self.lines is not None:
+            return self.lines
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
     @cached_property

@@ -68,7 +68,11 @@ def _odd_lines(path, more=""):
     return con
 
 
-@pytest.mark.parametrize("more", ["", "union all by name select 1 as l_orderkey, 3 as l_partkey, 2 as l_suppkey, 1 as l_linenumber, -5.0 as l_extendedprice, 0.0 as l_discount, 0.0 as l_tax, 'A' as l_returnflag, timestamp '1998-01-01' as l_shipdate"], ids=["as numbers", "as they are"])
+def _line(order="1", supplier="2", price="-5.0"):
+    return f"union all by name select {order} as l_orderkey, 3 as l_partkey, {supplier} as l_suppkey, 1 as l_linenumber, {price} as l_extendedprice, 0.0 as l_discount, 0.0 as l_tax, 'A' as l_returnflag, timestamp '1998-01-01' as l_shipdate"
+
+
+@pytest.mark.parametrize("more", ["", _line(), _line("1000000000000", "4", "90.0"), _line("1", "null", "90.0"), " ".join(_line(supplier=str(i)) for i in range(1, 5))], ids=["plain", "a negative price", "a long key", "no partner", "all partners odd"])
 def test_golden_queries_on_odd_lines(spark, tmp_path, monkeypatch, more):
     from pricelake.plans import queries
 
